@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quillmark.llm import near_dup
+from quillmark.llm import lookalike, near_dup, pair_defects
 
 QUERIES = {
     "p1_found": near_dup.p1_found,
     "p1_groups": near_dup.p1_groups,
+    "p2_found": pair_defects.p2_found,
+    "p3_found": lookalike.p3_found,
+    "p3_normalised": lookalike.p3_normalised,
 }
 
 SQL: dict[str, str] = {}
