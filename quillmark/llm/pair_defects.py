@@ -22,7 +22,7 @@ share an id give one defect (the first in the order of ``DEFECTS``); null ids ar
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -83,12 +83,11 @@ COPIED, RUN = 0.85, 3
 SEEN, ENDS = 3, 0.5
 
 _BREAK = re.compile(r"(\w)-[ ]?\n\s*(\w)|(\w)=\n(\w)|(\w)¬\n?(\w)")
-_DEVA = re.compile(r"[ऀ-ॿ]")
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
+_DEVA = re.compile(r"[ऀ-ॿ]+")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*", re.U)
 _TOKEN = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\$[^$]+\$|[ऀ-ॿ]+|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]", re.S)
 _SENT = re.compile(r"(?<=[.!?।])[\"”')\]]*\s+")
-_END = re.compile(r"[.!?।][\"”'’)\]]*$")
 _UNIT = r"(?:[^\W\d_]{1,12}\.?|°|%)"
 _NUM = r"[-+]?\d+(?:[.,]\d+)*"
 _VALUE = re.compile(rf"^\(?(?:[A-Ha-h]|[ivx]{{1,4}}|{_NUM}(?:\s*{_UNIT}(?:\s*/\s*{_UNIT})?)?|{_NUM}\s*[:/]\s*{_NUM}|true|false|yes|no|सत्य|असत्य)\)?[.]?$", re.I)
@@ -178,6 +177,12 @@ _LABELS = frozenset(("ans", "answer", "sol", "solution", "soln", "explanation"))
 
 
 def is_copy(stem: str, response: str) -> bool:
+    rough = response.lower().split()
+    if len(rough) > 12:
+        # words that touch no mark are the same in both; a copy keeps far more of them than this
+        own = set(stem.lower().split())
+        if sum(map(own.__contains__, rough)) < 0.3 * len(rough):
+            return False
     r = copy_words(response)
     while r and r[0] in _LABELS:
         r = r[1:]
@@ -219,13 +224,21 @@ def is_refusal(text: str) -> bool:
     return own >= rest or (opens and others <= 2)
 
 
+_EN = frozenset(STOPWORDS["en"])
+
+
 def language(text: str) -> tuple[str | None, int]:
     """The language with most votes, and its lead over the next; (None, 0) where nothing votes."""
-    deva, latin = len(_DEVA.findall(text)), len(_LATIN.findall(text))
-    if deva > latin and deva >= 3:
-        return "hi", deva
+    if not text.isascii():
+        deva = sum(map(len, _DEVA.findall(text)))
+        if deva >= 3 and deva > sum(map(len, _LATIN.findall(text))):
+            return "hi", deva
+    words = _WORD.findall(text.lower())
+    en = sum(map(_EN.__contains__, words))
+    if en >= 3 and 4 * en >= len(words):
+        return "en", en
     votes: dict[str, int] = defaultdict(int)
-    for w in _WORD.findall(text.lower()):
+    for w in words:
         for lang in _VOTES.get(w, ()):
             votes[lang] += 1
     if not votes:
@@ -238,43 +251,42 @@ def is_value(text: str) -> bool:
     return bool(_VALUE.match(text) or _FORMULA.match(text))
 
 
+_DELIM = re.compile(r"\\[()\[\]]")
+_OPENS = {"\\)": "\\(", "\\]": "\\["}
+
+
 def open_delimiters(text: str) -> bool:
     """Whether a formula or bracket is still open at the end."""
     stack: list[str] = []
-    i, n = 0, len(text)
-    pairs = {"\\)": "\\(", "\\]": "\\["}
-    while i < n:
-        two = text[i : i + 2]
-        if two in ("\\(", "\\["):
-            stack.append(two)
-            i += 2
-        elif two in pairs:
-            if stack and stack[-1] == pairs[two]:
-                stack.pop()
-            i += 2
-        else:
-            i += 1
+    for d in _DELIM.findall(text):
+        if d not in _OPENS:
+            stack.append(d)
+        elif stack and stack[-1] == _OPENS[d]:
+            stack.pop()
     if stack or text.endswith("\\"):
         return True
     return text.count("(") > text.count(")") and text.rfind("(") > text.rfind(")")
 
 
+def has_end(text: str) -> bool:
+    """Whether the text closes with an end mark, perhaps within quotes or brackets."""
+    return text.rstrip("\"”'’)]")[-1:] in (".", "!", "?", "।")
+
+
+def _slot(t: str) -> str:
+    c = t[0]
+    if c.isdigit():
+        return "9"
+    if c in "\\$" and len(t) > 1:
+        return "F"
+    if c.isalpha() or "ऀ" <= c <= "ॿ":
+        return t if t in KEPT else "_"
+    return c if c in ",;:" else "_" if c == "°" else ""
+
+
 def shape(sentence: str) -> list[str]:
     """A sentence as kept words, open slots, numbers and marks."""
-    out = []
-    for t in _TOKEN.findall(sentence.lower()):
-        c = t[0]
-        if c.isdigit():
-            out.append("9")
-        elif c in "\\$" and len(t) > 1:
-            out.append("F")
-        elif c.isalpha() or "ऀ" <= c <= "ॿ":
-            out.append(t if t in KEPT else "_")
-        elif c in ",;:":
-            out.append(c)
-        elif c == "°":
-            out.append("_")
-    return out
+    return [x for x in map(_slot, _TOKEN.findall(sentence.lower())) if x]
 
 
 def _h(kind: str, what: str) -> int:
@@ -314,7 +326,7 @@ def verdict(stem: str | None, answer: str | None, explanation: str | None) -> tu
                 return "other_language", None
     if open_delimiters(r):
         return "truncated", None
-    if _END.search(r):
+    if has_end(r):
         return None, None
     if r[-1] in ",;:-=+<>/(" or r.endswith((" and", " the", " of", " or")):
         return "truncated", None
@@ -332,44 +344,63 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64()))], names=["id", "defect", "keys"])
 
 
+class _Slots(dict):
+    """Remembers the slot of each token."""
+
+    def __missing__(self, t: str) -> str:
+        v = self[t] = _slot(t)
+        return v
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: how often each shape ends a sentence, each run of tokens is followed by an end or not, each word occurs."""
-    ends: dict[str, int] = defaultdict(int)
-    mids: dict[str, int] = defaultdict(int)
+    """Per task: how often each shape ends a sentence, each run of tokens is followed by an end or not, each word occurs.
+    Sentences of one shape are counted together, so runs are cut once per shape."""
+    whole: Counter[str] = Counter()
+    loose: Counter[str] = Counter()
+    words: Counter[str] = Counter()
+    slots = _Slots()
 
     def flush() -> pa.RecordBatch:
+        ends: Counter[str] = Counter()
+        mids: Counter[str] = Counter()
+        for of, done in ((whole, True), (loose, False)):
+            for sentence, n in of.items():
+                t = sentence.split(" ")
+                for i in range(3, len(t)):
+                    mids["3" + " ".join(t[i - 3 : i])] += n
+                    if i > 3:
+                        mids["4" + " ".join(t[i - 4 : i])] += n
+                if done:
+                    ends["f" + sentence] += n
+                    ends["4" + " ".join(t[-4:])] += n
+                    ends["3" + " ".join(t[-3:])] += n
+        for w, n in words.items():
+            if _is_word(w):
+                mids["w" + w] += n
         keys = list(ends.keys() | mids.keys())
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array([_h(k[0], k[1:]) for k in keys], pa.int64()), pa.array([ends.get(k, 0) for k in keys], pa.int64()), pa.array([mids.get(k, 0) for k in keys], pa.int64())], names=["key", "e", "m"]
+        for c in (whole, loose, words, slots):
+            c.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([_h(k[0], k[1:]) for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([mids[k] for k in keys], pa.int64())], names=["key", "e", "m"]
         )
-        ends.clear()
-        mids.clear()
-        return batch
 
     for b in batches:
         for a, e in zip(*(c.to_pylist() for c in b.columns)):
             r = clean(e) or clean(a)
             if len(r) < 12:
                 continue
-            for sentence in _SENT.split(r):
-                s = shape(sentence)
-                n = len(s)
-                if n < 2:
+            for sentence in _SENT.split(r.lower()):
+                tokens = _TOKEN.findall(sentence)
+                s = " ".join(filter(None, map(slots.__getitem__, tokens)))
+                if " " not in s:
                     continue
-                done = _END.search(sentence) is not None
-                for i in range(3, n):
-                    mids["3" + " ".join(s[i - 3 : i])] += 1
-                    if i > 3:
-                        mids["4" + " ".join(s[i - 4 : i])] += 1
-                if done:
-                    ends["f" + " ".join(s)] += 1
-                    ends["4" + " ".join(s[-4:])] += 1
-                    ends["3" + " ".join(s[-3:])] += 1
-                words = _TOKEN.findall(sentence.lower())
-                for w in words if done else words[:-1]:
-                    if _is_word(w):
-                        mids["w" + w] += 1
-        if len(mids) > 400_000:
+                if has_end(sentence):
+                    whole[s] += 1
+                    words.update(tokens)
+                else:
+                    loose[s] += 1
+                    words.update(tokens[:-1])
+        if len(whole) + len(loose) + len(words) > 400_000:
             yield flush()
     yield flush()
 
@@ -377,13 +408,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def defects(questions: DataFrame) -> DataFrame:
     """(id, defect), one row per defective id."""
     q = questions.select("id", "stem", "answer", "explanation").where("id is not null")
-    judged = q.mapInArrow(_judge, "id string, defect string, keys array<bigint>")
-    rank = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
-    sure = judged.where("defect is not null").select("id", rank.cast("int").alias("rank"))
+    judged = q.mapInArrow(_judge, "id string, defect string, keys array<bigint>").distinct()
+    names = F.array(*map(F.lit, DEFECTS))
     counts = questions.select("answer", "explanation").mapInArrow(_count, "key bigint, e bigint, m bigint").groupBy("key").agg(F.sum("e").alias("e"), F.sum("m").alias("m"))
-    open_ = judged.where("defect is null").select("id", "keys").distinct()
-    ask = open_.select("id", F.col("keys").alias("of"), F.posexplode("keys").alias("level", "key"))
-    got = ask.join(counts, "key", "left").groupBy("id", "of").agg(*(F.coalesce(F.max(F.when(F.col("level") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(4) for c in ("e", "m")))
+    # decided pairs pass with a null key: one evaluation of the judgement serves both kinds
+    ask = judged.select("id", "defect", F.col("keys").alias("of"), F.posexplode_outer("keys").alias("level", "key"))
+    got = ask.join(counts, "key", "left").groupBy("id", "defect", "of").agg(*(F.coalesce(F.max(F.when(F.col("level") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(4) for c in ("e", "m")))
     known_word = F.col("m3") >= SEEN
     whole = F.col("e0") >= SEEN
     four = F.col("e1") + F.col("m1")
@@ -391,9 +421,8 @@ def defects(questions: DataFrame) -> DataFrame:
     tail = F.when(four >= SEEN, F.col("e1") >= ENDS * four).when(three >= SEEN, F.col("e2") >= ENDS * three).otherwise(F.lit(False))
     number = F.col("of")[3] == F.lit(_h("w", ""))
     ended = (known_word | number) & (whole | tail)
-    cut = got.where(~ended).select("id", F.lit(len(DEFECTS)).cast("int").alias("rank"))
-    names = F.array(*map(F.lit, DEFECTS))
-    return sure.unionByName(cut).groupBy("id").agg(F.min("rank").alias("rank")).select("id", F.element_at(names, F.col("rank")).alias("defect"))
+    rank = F.when(F.col("defect").isNotNull(), F.array_position(names, F.col("defect"))).when(~ended, len(DEFECTS))
+    return got.select("id", rank.cast("int").alias("rank")).where("rank is not null").groupBy("id").agg(F.min("rank").alias("rank")).select("id", F.element_at(names, F.col("rank")).alias("defect"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
