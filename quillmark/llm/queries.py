@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import lookalike, near_dup, pair_defects
+from quillmark.llm import canonical, lookalike, near_dup, pair_defects
 
 QUERIES = {
     "p1_found": near_dup.p1_found,
@@ -10,6 +10,7 @@ QUERIES = {
     "p2_found": pair_defects.p2_found,
     "p3_found": lookalike.p3_found,
     "p3_normalised": lookalike.p3_normalised,
+    "p4_found": canonical.p4_found,
 }
 
 SQL: dict[str, str] = {}
