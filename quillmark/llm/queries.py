@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import canonical, lookalike, near_dup, pair_defects
+from quillmark.llm import canonical, lookalike, near_dup, pair_defects, scan_noise
 
 QUERIES = {
     "p1_found": near_dup.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p3_found": lookalike.p3_found,
     "p3_normalised": lookalike.p3_normalised,
     "p4_found": canonical.p4_found,
+    "p5_found": scan_noise.p5_found,
+    "p5_repaired": scan_noise.p5_repaired,
 }
 
 SQL: dict[str, str] = {}
