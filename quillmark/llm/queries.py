@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import canonical, leaks, lookalike, near_dup, pair_defects, scan_noise
+from quillmark.llm import canonical, leaks, lookalike, near_dup, pair_defects, private, scan_noise
 
 QUERIES = {
     "p1_found": near_dup.p1_found,
@@ -15,6 +15,8 @@ QUERIES = {
     "p5_repaired": scan_noise.p5_repaired,
     "p7_found": leaks.p7_found,
     "p7_items": leaks.p7_items,
+    "p8_found": private.p8_found,
+    "p8_replaced": private.p8_replaced,
 }
 
 SQL: dict[str, str] = {}
