@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import canonical, leaks, lookalike, near_dup, pair_defects, private, scan_noise
+from quillmark.llm import canonical, leaks, lookalike, near_dup, packing, pair_defects, private, scan_noise
 
 QUERIES = {
     "p1_found": near_dup.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p4_found": canonical.p4_found,
     "p5_found": scan_noise.p5_found,
     "p5_repaired": scan_noise.p5_repaired,
+    "p6_packed": packing.p6_packed,
+    "p6_usage": packing.p6_usage,
     "p7_found": leaks.p7_found,
     "p7_items": leaks.p7_items,
     "p8_found": private.p8_found,
