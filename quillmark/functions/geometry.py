@@ -80,7 +80,7 @@ def crop_pixels(box, width=None, height=None, px_w=None, px_h=None) -> Column:
     have = (_c(px_w).isNotNull() & _c(px_h).isNotNull()) if px_w is not None else F.lit(False)
     pw = F.when(have, _c(px_w)).otherwise(bw * k) if px_w is not None else bw * k
     ph = F.when(have, _c(px_h)).otherwise(bh * k) if px_h is not None else bh * k
-    r2 = lambda x: F.round(x, 2)
+    r2 = lambda x: F.floor(x * 100.0 + 0.5).cast("double") / 100.0  # noqa: E731  (half up, the same in every engine)
     return F.struct(r2(part(box, 0) * w * pw / bw).alias("nx"), r2(part(box, 1) * h * ph / bh).alias("ny"), r2(pw).alias("nw"), r2(ph).alias("nh"))
 
 

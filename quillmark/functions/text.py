@@ -144,7 +144,8 @@ def named_option(x) -> Column:
 def mark_correct(options, *texts) -> Column:
     """Options with the one ticked that the first text naming a present label names."""
     o = _c(options)
-    want = F.coalesce(*(F.when(F.exists(o, lambda x, n=named_option(t): x["label"] == n), named_option(t)) for t in texts))
+    present = F.transform(o, lambda x: x["label"])
+    want = F.coalesce(*(F.when(F.array_contains(present, named_option(t)), named_option(t)) for t in texts))
     return F.transform(o, lambda x: F.struct(x["label"].alias("label"), x["body"].alias("body"), F.coalesce(x["label"] == want, F.lit(False)).alias("isCorrect")))
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillmark.plans import bank, pages, tables, texts
+
+QUERIES: dict = {**pages.QUERIES, **bank.QUERIES, **texts.QUERIES, **tables.QUERIES}
+SQL: dict[str, str] = {**pages.SQL, **bank.SQL, **texts.SQL, **tables.SQL}
