@@ -143,7 +143,7 @@ def with_result(readings: DataFrame, results: DataFrame) -> DataFrame:
     with (doc_id, name, latex, source)."""
     r = results.select("doc_id", "name", F.col("latex").alias("new_latex"), F.col("source").alias("new_source"), F.lit(True).alias("hit"))
     j = readings.join(r, ["doc_id", "name"], "left")
-    return j.select("doc_id", "key", "name", F.when("hit", F.col("new_latex")).otherwise(F.col("latex")).alias("latex"), F.when("hit", F.col("new_source")).otherwise(F.col("source")).alias("source"), F.when("hit", False).otherwise(F.col("needs_review")).alias("needs_review"))
+    return j.select("doc_id", "key", "name", F.when(F.col("hit"), F.col("new_latex")).otherwise(F.col("latex")).alias("latex"), F.when(F.col("hit"), F.col("new_source")).otherwise(F.col("source")).alias("source"), F.when(F.col("hit"), False).otherwise(F.col("needs_review")).alias("needs_review"))
 
 
 def without_images(sections: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -151,8 +151,10 @@ def without_images(sections: DataFrame, deleted: DataFrame) -> DataFrame:
     gone = deleted.groupBy("doc_id").agg(F.collect_set("name").alias("gone"))
     j = sections.join(gone, "doc_id", "left")
     hit = F.filter(F.coalesce("gone", F.array().cast("array<string>")), lambda n: F.contains(F.col("text"), F.concat(F.lit("[[eq:"), n, F.lit("]]"))))
-    t = F.aggregate(hit, F.col("text"), lambda acc, n: F.replace(acc, F.concat(F.lit("[[eq:"), n, F.lit("]]")), F.lit("")))
-    return j.select("doc_id", "key", F.when(F.size(hit) > 0, X.strip(F.regexp_replace(t, r"[ \t]{2,}", " "))).otherwise(F.col("text")).alias("text"), F.size(hit).alias("removed"))
+    j = j.withColumn("hit", hit)
+    t = F.aggregate("hit", F.col("text"), lambda acc, n: F.replace(acc, F.concat(F.lit("[[eq:"), n, F.lit("]]")), F.lit("")))
+    new = F.when(F.size("hit") > 0, X.strip(F.regexp_replace(t, r"[ \t]{2,}", " "))).otherwise(F.col("text"))
+    return j.select("doc_id", "key", new.alias("text"), F.size("hit").alias("removed"))
 
 
 def figures_in(selections: DataFrame, boxes: DataFrame) -> DataFrame:

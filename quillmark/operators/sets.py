@@ -16,7 +16,7 @@ def first_root_wins(roots: list[DataFrame], key: str) -> DataFrame:
         one = df.withColumn("__root", F.lit(n))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     cols = [c for c in out.columns if c not in ("__root", key)]
-    g = out.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct("__root", F.xxhash64(*cols))).alias("r"))
+    g = out.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct("__root", F.to_json(F.struct(*cols)))).alias("r"))
     return g.select(key, *(F.col(f"r.{c}").alias(c) for c in cols))
 
 
