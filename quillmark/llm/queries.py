@@ -21,4 +21,18 @@ QUERIES = {
     "p8_replaced": private.p8_replaced,
 }
 
-SQL: dict[str, str] = {}
+#: White space as Python's split sees it.
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+SQL: dict[str, str] = {
+    # exact join on the rarest words of either side (two sets this alike share one of them), then the whole test
+    "p1_found": rf"""with q as (select distinct id, stem from question where id is not null and stem is not null),
+  w as (select id, stem, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(stem), '{_WS}'), lambda x: trim(x, '.,;:?!()[]"''\')), lambda x: x <> '')) as ws from q),
+  k as (select *, row_number() over () as n from w where len(ws) >= 12),
+  t as (select n, id, len(ws) as size, unnest(ws) as wd from k), f as (select wd, count(*) as df from t group by wd),
+  r as (select t.*, row_number() over (partition by n order by df, t.wd) as pos from t join f using (wd)),
+  p as (select n, id, wd from r where pos <= size - ceil(0.75 * size) + 1),
+  c as (select distinct a.n as a, b.n as b from p a join p b using (wd) where a.id < b.id),
+  v as (select x.id as id_a, y.id as id_b, len(list_intersect(x.ws, y.ws)) as s, len(x.ws) + len(y.ws) as total from c join k x on x.n = c.a join k y on y.n = c.b)
+  select distinct id_a, id_b from v where s >= 0.75 * (total - s)""",
+}
