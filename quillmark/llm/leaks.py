@@ -32,35 +32,31 @@ from quillmark.runtime import table
 SHINGLE = 5
 #: Part of an item's words a passage must hold, and the part of those that may differ.
 SHARE, CHANGED = 0.5, 0.1
-#: The least containment of shingles such a passage can have (half of the words, one in ten changed).
-CONTAINMENT = 0.18
-HASHES = 128
-#: Ratio of the size partitions' bounds; items in one broadcast; shingles worked on at once.
-STEP, BLOCK, CHUNK = 1.25, 4000, 20_000
+HASHES = 144
+#: Chance that MinHash passes over a pair with the least containment a passage can have.
+MISS = 0.002
+#: Ratio of the size partitions' bounds; items in one broadcast; shingles worked on at once; unit of window sizes.
+STEP, BLOCK, CHUNK, BASE = 1.25, 4000, 20_000, 8
 
 _rng = np.random.default_rng(77)
-_MUL = (_rng.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _ROLL = (_rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_MARKS = re.compile(r"[\W_]+")
+_MARKS = re.compile(r"[^\w\s]+|_+")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased pieces without marks; quotes, punctuation and line breaks do not count."""
-    t = display(text).lower()
-    return [x for x in (w if w.isalnum() else _MARKS.sub("", w) for w in t.split()) if x]
+    return _MARKS.sub("", display(text).lower()).split()
 
 
 def hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = known.get(w)
-        if h is None:
-            if len(known) > 500_000:
-                known.clear()
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out[i] = h
-    return out
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -75,7 +71,25 @@ def shingles(h: np.ndarray) -> np.ndarray:
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
-    return ((s[:, None] * _MUL + _ADD) >> np.uint64(32)).astype(np.uint32)
+    return ((s >> np.uint64(32)).astype(np.uint32)[:, None] ^ _ADD) * _MUL
+
+
+def least_containment(n: int) -> float:
+    """The least share of an item's shingles (item of n words) that a passage keeps: half of the words, each changed
+    word, one in ten, breaking SHINGLE shingles."""
+    part = int(np.ceil(SHARE * n))
+    kept = part - SHINGLE + 1 - SHINGLE * int(CHANGED * part)
+    return max(1, kept) / (n - SHINGLE + 1)
+
+
+def least_equal(mean: float) -> int:
+    """The most equal MinHash values one may ask for, so that a pair with this mean is missed with at most MISS."""
+    m, p, below = 0, float(np.exp(-mean)), 0.0
+    while below + p <= MISS:
+        below += p
+        m += 1
+        p *= mean / m
+    return max(1, m)
 
 
 def longest_run(item: np.ndarray, doc: np.ndarray, shift: int) -> int:
@@ -112,16 +126,16 @@ class Items:
             self.ids.append(i)
             self.words.append(h)
             self.grams.append(np.unique(shingles(h)))
+        self.need = [least_containment(len(w)) * len(g) - 1e-9 for w, g in zip(self.words, self.grams)]
         groups: dict[int, list[int]] = defaultdict(list)
         for x, g in enumerate(self.grams):
             groups[int(np.ceil(np.log(len(g)) / np.log(STEP)))].append(x)
+        self.every = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(1, dtype=np.uint64)
         self.parts = []
         for k, xs in sorted(groups.items()):
-            upper = int(np.ceil(STEP**k))
-            least = min(len(self.grams[x]) for x in xs)
-            shared = CONTAINMENT * least
-            j = shared / (least + 2 * upper - shared)
-            need = max(1, int(np.floor(HASHES * j - 2.2 * np.sqrt(HASHES * j))))
+            upper = -(-int(np.ceil(STEP**k)) // BASE) * BASE
+            j = min((s := least_containment(len(self.words[x])) * (g := len(self.grams[x]))) / (g + 2 * upper - s) for x in xs)
+            need = least_equal(HASHES * j)
             code = np.concatenate([minhash(self.grams[x]).min(axis=0).astype(np.uint64) | (np.arange(HASHES, dtype=np.uint64) << np.uint64(32)) for x in xs])
             own = np.repeat(np.array(xs), HASHES)
             order = np.argsort(code, kind="stable")
@@ -131,27 +145,18 @@ class Items:
             self.parts.append((upper, need, code, own, sieve))
 
 
-def found_in(doc: np.ndarray, items: Items) -> list[int]:
-    """Ids of the items of which the document (word hashes) holds a passage."""
-    out = []
-    for i, h in items.short:
-        if len(doc) >= len(h) and (np.lib.stride_tricks.sliding_window_view(doc, len(h)) == h).all(axis=1).any():
-            out.append(i)
-    s = shingles(doc)
-    if not len(s):
-        return out
-    tried: set[int] = set()
+def candidates(s: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, from, to): windows of the shingle row whose MinHash values equal enough of an item's."""
     over = max((2 * p[0] for p in items.parts), default=0)
+    slots = np.arange(HASHES, dtype=np.uint64) << np.uint64(32)
     for at in range(0, len(s), CHUNK):
         own = s[at : at + CHUNK + over]
-        m = minhash(own)
+        m = np.minimum.reduceat(minhash(own), np.arange(0, len(own), BASE), axis=0)
         for upper, need, code, whose, sieve in items.parts:
-            blocks = np.minimum.reduceat(m, np.arange(0, len(own), upper), axis=0)
+            blocks = np.minimum.reduceat(m, np.arange(0, len(m), upper // BASE), axis=0)
             win = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
-            c = (win.astype(np.uint64) | (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))).ravel()
+            c = (win.astype(np.uint64) | slots).ravel()
             maybe = np.flatnonzero(sieve[(c * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)])
-            if not len(maybe):
-                continue
             v = c[maybe]
             lo, hi = np.searchsorted(code, v, "left"), np.searchsorted(code, v, "right")
             hit = hi > lo
@@ -161,20 +166,47 @@ def found_in(doc: np.ndarray, items: Items) -> list[int]:
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pair, count = np.unique(np.repeat(w, n) * np.int64(1 << 32) + whose[np.repeat(lo, n) + step], return_counts=True)
             for p in pair[count >= need]:
-                x, start = int(p & 0xFFFFFFFF), at + int(p >> 32) * upper
-                if x not in tried and verified(doc, s, start, start + 2 * upper, items.words[x], items.grams[x]):
-                    tried.add(x)
-                    out.append(items.ids[x])
-    return out
+                start = at + int(p >> 32) * upper
+                yield int(p & 0xFFFFFFFF), start, start + 2 * upper
 
 
-def verified(doc: np.ndarray, s: np.ndarray, start: int, end: int, item: np.ndarray, grams: np.ndarray) -> bool:
+def found_in(docs: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
+    """(position of the document, item id) for documents given as word hashes. Their shingles stand in one row: a
+    window over two documents can only add candidates, and every candidate is verified within one document."""
+    out: set[tuple[int, int]] = set()
+    for i, h in items.short:
+        for d, doc in enumerate(docs):
+            if len(doc) >= len(h) and (np.lib.stride_tricks.sliding_window_view(doc, len(h)) == h).all(axis=1).any():
+                out.add((d, i))
+    rows = [shingles(d) for d in docs]
+    ends = np.cumsum([len(r) for r in rows])
+    if not len(ends) or not ends[-1]:
+        return sorted(out)
+    row = np.concatenate(rows)
+    at = items.every.searchsorted(row)
+    at[at == len(items.every)] = 0
+    shared = np.concatenate([[0], np.cumsum(items.every[at] == row)])  # shingles of any item up to here
+    for x, start, end in candidates(row, items):
+        if shared[min(end, len(row))] - shared[start] < items.need[x]:
+            continue  # even all of them would not be enough
+        for d in range(int(np.searchsorted(ends, start, "right")), len(docs)):
+            off = int(ends[d]) - len(rows[d])
+            if off >= end:
+                break
+            if (d, items.ids[x]) not in out and verified(docs[d], rows[d], max(0, start - off), end - off, items.words[x], items.grams[x], items.need[x]):
+                out.add((d, items.ids[x]))
+    return sorted(out)
+
+
+def verified(doc: np.ndarray, s: np.ndarray, start: int, end: int, item: np.ndarray, grams: np.ndarray, need: float) -> bool:
     """Exact shingle containment of the item in the window, then one passage of its words."""
     window = s[start:end]
-    at = np.searchsorted(grams, window)
+    if len(window) < need:
+        return False
+    at = grams.searchsorted(window)
     at[at == len(grams)] = 0
     inside = grams[at] == window
-    if len(np.unique(window[inside])) < CONTAINMENT * len(grams):
+    if np.count_nonzero(inside) < need or len(np.unique(window[inside])) < need:
         return False
     own = shingles(item)
     shifts: dict[int, int] = defaultdict(int)
@@ -191,11 +223,26 @@ def _search(shared):
         known: dict[str, int] = {}
         for b in batches:
             docs, got = [], []
+            ids: list[int] = []
+            row: list[np.ndarray] = []
+            size = 0
+
+            def flush() -> None:
+                for d, i in found_in(row, items):
+                    docs.append(ids[d])
+                    got.append(i)
+                ids.clear()
+                row.clear()
+
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text:
-                    for i in found_in(hashes(words_of(text), known), items):
-                        docs.append(d)
-                        got.append(i)
+                    ids.append(d)
+                    row.append(hashes(words_of(text), known))
+                    size += len(row[-1])
+                    if size > CHUNK:
+                        flush()
+                        size = 0
+            flush()
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(got, pa.int32())], names=["doc_id", "item_id"])
 
     return run

@@ -96,6 +96,10 @@ _CYR = re.compile("[Ѐ-ԯ]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
 
+#: Every character that can make display() change a text: without one of them the text comes back at once.
+_ODD = frozenset([*map(chr, _MAP), "‌", "‍", *CYRILLIC, *GREEK, *GREEK_WEAK, *map(chr, range(0x300, 0x370))])
+
+
 def _fold_word(w: str, latin_text: bool, math: bool) -> str:
     latin = len(_LATIN.findall(w))
     if _CYR.search(w):
@@ -131,7 +135,7 @@ def _fold(text: str) -> str:
 
 def display(text: str) -> str:
     """The text in ordinary characters; unchanged where nothing stands for anything else."""
-    if text.isascii():
+    if text.isascii() or _ODD.isdisjoint(text):
         return text
     if _JOINER.search(text):
         kept = [m.span() for m in _INDIC.finditer(text)]

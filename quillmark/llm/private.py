@@ -22,6 +22,7 @@ import hmac
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,51 +127,125 @@ def _trim_name(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
+# ---------------------------------------------------------------- where to look
+#: Each pattern is run only around words it cannot do without; one automaton finds them all in one pass.
+#: kind: (words, characters looked at before and after them).
+_BOUND = (" ", "\n", "(", "“", '"', ":")
+TRIGGERS: dict[str, tuple[tuple[str, ...], int, int]] = {
+    "email": (("@", "dot", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at"), 110, 110),
+    "address": (tuple(dict.fromkeys(f" {w}" for w in STREETS.lower().split("|"))), 90, 110),
+    "id_shape": (("cand/", "tr-"), 2, 24),
+    "id_cued": (("roll", "enrol", "candidate", "identity", "tax id", "tax  id", "passport", "aadha", "pan", "id", "voter", "licen", "registration", "card", "match", "रोल", "पहचान"), 4, 90),
+    "cue0": (("ed by", "ent by", "ten by", "wn by", "ed  by"), 16, 130),
+    "cue1": (("student", "teacher", "name", "parent", "guardian", "author", "tutor", "father", "mother", "invigilator", "examiner", "contact person"), 12, 130),
+    "cue2": (("my name", "name is", "i am called", "this is", "thank", "next to", "dear", "ask for", "meet", "told", "met with", "spoke to", "regards to", "called"), 10, 130),
+    "cue3": (("my name is", "please thank", "i sat next to"), 2, 130),
+    "cue4": (("i am ", "i'm "), 2, 130),
+    "cue5": (("sincerely", "faithfully", "truly", "regards", "thanks", "thank you", "cheers", "sent by", "from", "signed", "respectfully"), 20, 150),
+    "cue6": (("sincerely", "faithfully", "truly", "regards", "thanks", "sent by", "from"), 20, 150),
+    "cue7": (tuple(b + w for w in ("mr", "mrs", "ms", "dr", "prof", "shri", "smt", "sri", "miss") for b in _BOUND), 2, 130),
+    "cue8": (("pointed", "said", "noted", "wrote", "explained", "mentioned", "observed", "showed", "remarked"), 130, 16),
+    "cue9": (("teaching", "coming", "taking", "absent", "present", "marking", "here", "going"), 130, 16),
+    "acts": (("says", "said", "scored", "checked", "signed", "wrote", "asked", "replied", "explained", "solved", "submitted", "corrected", "pointed", "teaches", "taught", "told", "noticed", "answered", "agrees", "thinks", "called", "marked", "lives", "is absent", "was absent", " who", "second reader"), 130, 24),
+}
+#: Titles must end where the pattern says: drop hits that run on into a word.
+_WHOLE = frozenset(("cue7", "address"))
+
+
+def _triggers() -> ahocorasick.Automaton:
+    words: dict[str, list[str]] = {}
+    for kind, (ws, _, _) in TRIGGERS.items():
+        for w in ws:
+            words.setdefault(w, []).append(kind)
+    a = ahocorasick.Automaton()
+    for w, kinds in words.items():
+        a.add_word(w, (len(w), kinds))
+    a.make_automaton()
+    return a
+
+
+_TRIGGER = _triggers()
+_LETTER_DIGITS = re.compile(r"[A-Za-z]\d{4}")
+_DIGIT_ROW = re.compile(r"[+(\d][\d().+ -]{6,}\d")
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((max(a, 0), b))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of every item, in order, without overlaps."""
     taken: list[tuple[int, int, str]] = []
+    around: dict[str, list[tuple[int, int]]] = {}
+    low = _lower(text)
+    size = len(low)
+    for end, (n, kinds) in _TRIGGER.iter(low):
+        runs_on = end + 1 < size and low[end + 1].isalnum()
+        for kind in kinds:
+            if not (runs_on and kind in _WHOLE):
+                _, before, after = TRIGGERS[kind]
+                around.setdefault(kind, []).append((end + 1 - n - before, end + 1 + after))
+    if m := [(x.start() - 8, x.end() + 8) for x in _LETTER_DIGITS.finditer(text)]:
+        around.setdefault("id_shape", []).extend(m)
+    if m := [(x.start() - 2, x.end() + 4) for x in _DIGIT_ROW.finditer(text)]:
+        around["phone"] = m
 
     def claim(a: int, b: int, kind: str) -> None:
         if b > a and not any(a < y and x < b for x, y, _ in taken):
             taken.append((a, b, kind))
 
-    low = text.lower()
-    if "@" in text or "at" in low:
-        for m in EMAIL.finditer(text):
-            if "@" in m[0] or re.search(r"[\[({<]\s?at|\sat\s", m[0], re.I):
-                claim(*m.span(), "email")
-    if any(c.isdigit() for c in text):
-        for rx in (ADDRESS, ADDRESS_UP, ADDRESS_LOW):
-            for m in rx.finditer(text):
-                if _ADDRESS_CUE.search(text[max(0, m.start() - 40) : m.start()]) or re.search(r"\d{3}\s?\d{3}$", m[0]) or "," in m[0]:
-                    claim(*m.span(), "address")
-        for m in ID_SHAPE.finditer(text):
-            if m[0].upper() == m[0] or m[0].lower() == m[0]:
-                claim(*m.span(), "id_number")
-        for m in ID_CUED.finditer(text):
-            v = _SPACED_ID.match(m["v"])
-            if v and not _CODE_BEFORE.search(text[max(0, m.start("v") - 24) : m.start("v")]):
-                claim(m.start("v"), m.start("v") + v.end(), "id_number")
-        for m in PHONE.finditer(text):
-            a, b = m.span()
-            if not 9 <= sum(c.isdigit() for c in m[0]) <= 15 or _QUANTITY.match(text[b : b + 20]):
-                continue
-            before = text[max(0, a - 60) : a]
-            if _CODE_BEFORE.search(before):
+    def each(kind: str, *patterns: re.Pattern) -> Iterator[re.Match]:
+        if kind in around:
+            spans = _merged(around[kind])
+            for rx in patterns:
+                for lo, hi in spans:
+                    yield from rx.finditer(text, lo, hi)
+
+    for m in each("email", EMAIL):
+        if "@" in m[0] or re.search(r"[\[({<]\s?at|\sat\s", m[0], re.I):
+            claim(*m.span(), "email")
+    for m in each("address", ADDRESS, ADDRESS_UP, ADDRESS_LOW):
+        if _ADDRESS_CUE.search(text[max(0, m.start() - 40) : m.start()]) or re.search(r"\d{3}\s?\d{3}$", m[0]) or "," in m[0]:
+            claim(*m.span(), "address")
+    for m in each("id_shape", ID_SHAPE):
+        if m[0].upper() == m[0] or m[0].lower() == m[0]:
+            claim(*m.span(), "id_number")
+    for m in each("id_cued", ID_CUED):
+        v = _SPACED_ID.match(m["v"])
+        if v and not _CODE_BEFORE.search(text[max(0, m.start("v") - 24) : m.start("v")]):
+            claim(m.start("v"), m.start("v") + v.end(), "id_number")
+    for m in each("phone", PHONE):
+        a, b = m.span()
+        if not 9 <= sum(c.isdigit() for c in m[0]) <= 15 or _QUANTITY.match(text[b : b + 20]):
+            continue
+        before = text[max(0, a - 60) : a]
+        if _CODE_BEFORE.search(before):
+            continue
+        if (more := re.match(r" ?\d", text[b : b + 2])) and not any(x == b + more.end() - 1 for x, _, _ in taken):
+            continue  # part of a longer row of digits
+        if m["weak"]:
+            own_line = (a == 0 or text[a - 1] == "\n") and text[b : b + 1] in ("\n", "")
+            bracketed = text[a - 1 : a] == "(" and text[b : b + 1] == ")"
+            if not (own_line or bracketed or _PHONE_WORD.search(before)):
                 continue
-            if (more := re.match(r" ?\d", text[b : b + 2])) and not any(x == b + more.end() - 1 for x, _, _ in taken):
-                continue  # part of a longer row of digits
-            if m["weak"]:
-                own_line = (a == 0 or text[a - 1] == "\n") and text[b : b + 1] in ("\n", "")
-                bracketed = text[a - 1 : a] == "(" and text[b : b + 1] == ")"
-                if not (own_line or bracketed or _PHONE_WORD.search(before)):
-                    continue
-            claim(a, b, "phone")
-    for rx in NAME_CUES:
-        for m in rx.finditer(text):
+        claim(a, b, "phone")
+    for n, rx in enumerate(NAME_CUES):
+        for m in each(f"cue{n}", rx):
             if span := _trim_name(text, *m.span("n")):
                 claim(*span, "name")
-    for m in NAME_ACTS.finditer(text):
+    for m in each("acts", NAME_ACTS):
         if span := _trim_name(text, *m.span("n")):
             claim(*span, "name")
     return sorted(taken)
