@@ -66,7 +66,7 @@ STOPWORDS = {
     "es": "el la los las un una unos unas de del y es son era en que por para con sin se su sus lo al como entonces según tanto ambos entre este esta queda quedan resulta más será si cuando donde".split(),
     "pt": "o a os as um uma de do da dos das e é são em no na que por para com sem se seu sua ao como então ambos entre este esta".split(),
     "it": "il lo la i gli le un una di del della dei e è sono in nel che per con senza si suo sua al come allora entrambi tra questo questa".split(),
-    "hi-Latn": "hai hain ka ki ke ko se mein me par aur ya jo yeh ye woh wo uska uski iska iski isliye kul hoga hogi hota hoti tha thi the na nahi diye gaye gaya dono ek kya kaise yahan wahan humein hume hum aap raha rahta rehta bacha aata milta par tak".split(),
+    "hi-Latn": "is prakar tarah liye hai hain ka ki ke ko se mein me par aur ya jo yeh ye woh wo uska uski iska iski isliye kul hoga hogi hota hoti tha thi the na nahi diye gaye gaya dono ek kya kaise yahan wahan humein hume hum aap raha rahta rehta bacha aata milta par tak".split(),
 }
 _VOTES: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
