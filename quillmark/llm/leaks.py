@@ -74,6 +74,21 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return ((s >> np.uint64(32)).astype(np.uint32)[:, None] ^ _ADD) * _MUL
 
 
+def block_minhash(s: np.ndarray) -> np.ndarray:
+    """Least MinHash values of each BASE shingles in a row: halved three times while still in the cache."""
+    n = -(-len(s) // BASE)
+    out = np.empty((n, HASHES), dtype=np.uint32)
+    step = 2048 // BASE
+    for i in range(0, n, step):
+        h = minhash(s[i * BASE : (i + step) * BASE])
+        if short := -len(h) % BASE:
+            h = np.concatenate([h, np.repeat(h[-1:], short, axis=0)])
+        while len(h) > min(step, n - i):
+            h = np.minimum(h[0::2], h[1::2])
+        out[i : i + step] = h
+    return out
+
+
 def least_containment(n: int) -> float:
     """The least share of an item's shingles (item of n words) that a passage keeps: half of the words, each changed
     word, one in ten, breaking SHINGLE shingles."""
@@ -126,7 +141,7 @@ class Items:
             self.ids.append(i)
             self.words.append(h)
             self.grams.append(np.unique(shingles(h)))
-        self.need = [least_containment(len(w)) * len(g) - 1e-9 for w, g in zip(self.words, self.grams)]
+        self.need = np.array([least_containment(len(w)) * len(g) - 1e-9 for w, g in zip(self.words, self.grams)])
         groups: dict[int, list[int]] = defaultdict(list)
         for x, g in enumerate(self.grams):
             groups[int(np.ceil(np.log(len(g)) / np.log(STEP)))].append(x)
@@ -146,12 +161,16 @@ class Items:
 
 
 def candidates(s: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
-    """(item, from, to): windows of the shingle row whose MinHash values equal enough of an item's."""
+    """(item, from, to): windows of the shingle row whose MinHash values equal enough of an item's. A window that holds
+    fewer shingles of all items together than the one item needs is none (an upper bound, so nothing is lost)."""
+    at = items.every.searchsorted(s)
+    at[at == len(items.every)] = 0
+    shared = np.concatenate([[0], np.cumsum(items.every[at] == s)])  # shingles of any item up to here
     over = max((2 * p[0] for p in items.parts), default=0)
     slots = np.arange(HASHES, dtype=np.uint64) << np.uint64(32)
     for at in range(0, len(s), CHUNK):
         own = s[at : at + CHUNK + over]
-        m = np.minimum.reduceat(minhash(own), np.arange(0, len(own), BASE), axis=0)
+        m = block_minhash(own)
         for upper, need, code, whose, sieve in items.parts:
             blocks = np.minimum.reduceat(m, np.arange(0, len(m), upper // BASE), axis=0)
             win = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
@@ -165,9 +184,11 @@ def candidates(s: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
                 continue
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pair, count = np.unique(np.repeat(w, n) * np.int64(1 << 32) + whose[np.repeat(lo, n) + step], return_counts=True)
-            for p in pair[count >= need]:
-                start = at + int(p >> 32) * upper
-                yield int(p & 0xFFFFFFFF), start, start + 2 * upper
+            pair = pair[count >= need]
+            which, start = pair & 0xFFFFFFFF, at + (pair >> 32) * upper
+            good = shared[np.minimum(start + 2 * upper, len(s))] - shared[start] >= items.need[which]
+            for x, a in zip(which[good].tolist(), start[good].tolist()):
+                yield x, a, a + 2 * upper
 
 
 def found_in(docs: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
@@ -183,12 +204,7 @@ def found_in(docs: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
     if not len(ends) or not ends[-1]:
         return sorted(out)
     row = np.concatenate(rows)
-    at = items.every.searchsorted(row)
-    at[at == len(items.every)] = 0
-    shared = np.concatenate([[0], np.cumsum(items.every[at] == row)])  # shingles of any item up to here
     for x, start, end in candidates(row, items):
-        if shared[min(end, len(row))] - shared[start] < items.need[x]:
-            continue  # even all of them would not be enough
         for d in range(int(np.searchsorted(ends, start, "right")), len(docs)):
             off = int(ends[d]) - len(rows[d])
             if off >= end:

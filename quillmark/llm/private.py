@@ -98,8 +98,8 @@ NAME_CUES = [
     re.compile(rf"\b(?i:my name is|my names|name is|i am called|this is|thank|thanks to|sat next to|next to|dear|ask for|meet|told|met with|spoke to|regards to|called)\s+{_TITLE}{_ANY_CASED}(?![\w@])"),
     re.compile(rf"\b(?i:my name is|please thank|i sat next to)\s+{_TITLE}{_ANY}(?![\w@])"),
     re.compile(rf"\b(?:[Ii] am|I'm|[Ii] AM)\s+{_TITLE}{_ANY}(?=,|\s(?:and|from|of)\b)"),
-    re.compile(rf"(?:^|\n)[ \t]*(?i:yours (?:sincerely|faithfully|truly)|sincerely|(?:best |kind |warm )?regards|thanks(?: and regards)?|thank you|cheers|sent by|from|signed|respectfully)\s*[,:]?[ \t]*\n[ \t]*{_TITLE}{_ANY}(?=\s*(?:\n|$)|\s+[A-Z+(0-9])"),
-    re.compile(rf"(?<=[\s(“\"])(?i:yours (?:sincerely|faithfully|truly)|(?:best |kind |warm )?regards|thanks|sent by|from)\s*[,:][ \t]*\n[ \t]*{_TITLE}{_ANY}(?=\s*(?:\n|$)|\s+[A-Z+(0-9])"),
+    re.compile(rf"(?:^|\n)[ \t]*(?i:yours (?:sincerely|faithfully|truly)|sincerely|(?:best |kind |warm )?regards|thanks(?: and regards)?|thank you|cheers|sent by|from|signed|respectfully)\s*[,:]?[ \t]*\n[ \t]*{_TITLE}{_ANY}(?=\s*(?:\n|$)|\s+(?:[A-Z+(0-9]|(?:tel|cc|mob|ph|fax|e-?mail)\b))"),
+    re.compile(rf"(?<=[\s(“\"])(?i:yours (?:sincerely|faithfully|truly)|(?:best |kind |warm )?regards|thanks|sent by|from)\s*[,:][ \t]*\n[ \t]*{_TITLE}{_ANY}(?=\s*(?:\n|$)|\s+(?:[A-Z+(0-9]|(?:tel|cc|mob|ph|fax|e-?mail)\b))"),
     re.compile(rf"(?<!\w)(?:(?:[Mm]r|[Mm]rs|[Mm]s|[Dd]r|[Pp]rof|[Ss]hri|[Ss]mt|[Ss]ri|MR|MRS|MS|DR|PROF)\.\s|(?:Mr|Mrs|Ms|Dr|Prof|Shri|Smt|Miss)\s){_ANY}(?![\w@])"),
     re.compile(rf"\b(?i:as)\s+{_TITLE}{_ANY}\s+(?:pointed|said|noted|wrote|explained|mentioned|observed|showed|remarked)\b"),
     re.compile(rf"\b(?i:is|was|will|did|has)\s+{_TITLE}{_ANY}\s+(?:teaching|coming|taking|absent|present|marking|here|going)\b"),
