@@ -176,7 +176,12 @@ def copy_words(text: str) -> list[str]:
 _LABELS = frozenset(("ans", "answer", "sol", "solution", "soln", "explanation"))
 
 
+_LEAD_IN = re.compile(r"^[^:.?!\d\\]{1,40}:\s+(?=\S)")
+
+
 def is_copy(stem: str, response: str) -> bool:
+    if (m := _LEAD_IN.match(response)) and len(m[0].split()) <= 5:  # "The question is: ..."
+        response = response[m.end() :]
     rough = response.lower().split()
     if len(rough) > 12:
         # words that touch no mark are the same in both; a copy keeps far more of them than this

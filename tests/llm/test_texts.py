@@ -16,7 +16,7 @@ STEM = "A sample of steel weighing 13.9 litres is placed inside a green reservoi
         (STEM, "", "I'm sorry, but I can’t help with this question. Please ask your teacher.", "refusal"), (STEM, "", "It cannot be determined from the fence alone. Refuse the smaller root and keep 5.", None),
         (STEM, "", "This request could not be completed. The idea of slope is best shown with a wheel.", "refusal"),
         (STEM, "", STEM, "copy"), (STEM, "", f"Ans. {STEM} {STEM.lower()}", "copy"), (STEM, "", f"We are told: {STEM[:74]} Thus the value is 4 newtons of tin and the ratio follows from the second relation above.", None),
-        ("Define locus.", "Define locus. Define locus.", None, "copy"), (STEM, "", "Il reste donc 60 litres d'eau dans le récipient. La durée totale sera de 12 minutes.", "other_language"),
+        ("Define locus.", "Define locus. Define locus.", None, "copy"), ("Name the spare part.", "The question is: Name the spare part.", None, "copy"), (STEM, "", "Il reste donc 60 litres d'eau dans le récipient. La durée totale sera de 12 minutes.", "other_language"),
         (STEM, "", "Is prakar kul samay 66 minute hoga.", "other_language"), (STEM, "", "इस प्रकार कुल समय 98 मिनट होगा।", "other_language"), ("यदि तार लंबा हो तो भार बताइए।", "", "इस प्रकार कुल समय 98 मिनट होगा।", None),
         ("यदि तार लंबा हो तो भार बताइए।", "", "The total is 98 minutes and the answer is right.", "other_language"), ("यदि तार लंबा हो तो भार बताइए।", "98 m", None, None),
         (STEM, "", r"Dividing both sides by 4 gives \(x = ", "truncated"), (STEM, "", "The first part holds 4 g, while the", "truncated"), (STEM, "", "Both parts (see above", "truncated"), (None, None, None, "empty"),
