@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.lookalike import display
+from quillmark.llm.scan_noise import repair_lines
 from quillmark.runtime import table
 
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
@@ -82,7 +83,6 @@ COPIED, RUN = 0.85, 3
 #: tokens that is followed by an end in at least half of its occurrences.
 SEEN, ENDS = 3, 0.5
 
-_BREAK = re.compile(r"(\w)-[ ]?\n\s*(\w)|(\w)=\n(\w)|(\w)¬\n?(\w)")
 _DEVA = re.compile(r"[ऀ-ॿ]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*", re.U)
@@ -95,13 +95,13 @@ _FORMULA = re.compile(r"^(?:\\\(.*\\\)|\\\[.*\\\]|\$[^$]+\$)[.]?$", re.S)
 
 
 def clean(text: str | None) -> str:
-    """Compatibility form, without invisible characters and line-break hyphens, single spaces."""
+    """Ordinary characters, without page numbers, spaced-out headers and line-break hyphens, single spaces."""
     if not text:
         return ""
     if not text.isascii():
         text = display(text)
     if "\n" in text:
-        text = _BREAK.sub(lambda m: "".join(x for x in m.groups() if x), text)
+        text = repair_lines(text, (), ())[0]
     return " ".join(text.split())
 
 
@@ -252,6 +252,10 @@ def language(text: str) -> tuple[str | None, int]:
     return ranked[0][0], ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0)
 
 
+def votes_for(lang: str, text: str) -> int:
+    return sum(lang in _VOTES.get(w, ()) for w in _WORD.findall(text.lower()))
+
+
 def is_value(text: str) -> bool:
     return bool(_VALUE.match(text) or _FORMULA.match(text))
 
@@ -325,9 +329,9 @@ def verdict(stem: str | None, answer: str | None, explanation: str | None) -> tu
         return "copy", None
     if s:
         lang, lead = language(r)
-        if lang is not None and (lead >= 2 or lang == "hi"):
-            own = language(s)[0] or "en"
-            if own != lang:
+        if lang is not None and lang != (own := language(s)[0] or "en"):
+            # a clear lead, or several votes and none for the stem's own language
+            if lead >= 2 or lang == "hi" or (lead and votes_for(own, r) == 0 and votes_for(lang, r) >= 2):
                 return "other_language", None
     if open_delimiters(r):
         return "truncated", None
