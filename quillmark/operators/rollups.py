@@ -50,12 +50,14 @@ def distinct_options(tables: list[tuple[DataFrame, str]], field: str, constants:
     return out.distinct().select(F.lit(field).alias("field"), "value", F.lower("value").alias("sort_key")).orderBy("sort_key", "value")
 
 
-def signature(records: DataFrame, group: str, fields: list[str], order: list[str]) -> DataFrame:
-    """sha256 per group over its records in order, each in one canonical text; fields that only say when are left to the
-    caller to leave out. Records are digested one by one first, so a group moves 32 bytes a record."""
+def signature(records: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """A digest per group over its records, whatever their order; fields that only say when are left to the caller to
+    leave out. Two levels: records are digested one by one, then per bucket of digests (4,096 a group), then the buckets,
+    so a group of any size moves 64 characters a record and is never in one task."""
     line = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields)), 256)
-    g = records.select(group, F.struct(*order, line.alias("h")).alias("s")).groupBy(group).agg(F.array_sort(F.collect_list("s")).alias("a"))
-    return g.select(group, F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), "\n"), 256).alias("signature"), F.size("a").alias("records"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    part = records.select(group, line.alias("h")).groupBy(group, F.substring("h", 1, 3).alias("bucket")).agg(joined("h").alias("d"), F.count("*").alias("n"))
+    return part.groupBy(group).agg(joined(F.concat("bucket", "d")).alias("signature"), F.sum("n").alias("records"))
 
 
 def same_content(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -79,19 +81,33 @@ def repeated_lines(documents: DataFrame, least: int = 2) -> DataFrame:
     return per.groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where(F.col("n") >= least)
 
 
-def numbered_batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    n = F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(n / size).cast("int"))
+def numbered_batches(rows: DataFrame, group: str, order: list[str], size: int, block: Column) -> DataFrame:
+    """Batches of a fixed size in order within each group. ``block`` cuts the order into stretches (it must not fall as
+    the order goes on): rows are numbered per stretch, and what came before is added, so no task numbers a whole group."""
+    d = rows.withColumn("__b", block)
+    before = W.partitionBy(group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carry = d.groupBy(group, "__b").agg(F.count("*").alias("__n")).select(group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__c"))
+    local = d.withColumn("__r", F.row_number().over(W.partitionBy(group, "__b").orderBy(*order)) - 1)
+    return local.join(carry, [group, "__b"]).withColumn("batch", F.floor((F.col("__r") + F.col("__c")) / size).cast("int")).drop("__b", "__r", "__c")
 
 
-def islands(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Runs of equal values in order: (group, run, value, n, first, last)."""
-    by = W.partitionBy(group).orderBy(*order)
-    starts = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(by))).cast("int"), F.lit(1))
-    first = F.row_number().over(by) == 1
-    d = rows.withColumn("__s", F.when(first, 1).otherwise(starts)).withColumn("run", F.sum("__s").over(by.rowsBetween(W.unboundedPreceding, 0)))
+def islands(rows: DataFrame, group: str, order: list[str], value: str, block: Column) -> DataFrame:
+    """Runs of equal values in order: (group, run, value, n, first_at, last_at); nulls are equal to nulls. ``block`` cuts
+    the order into stretches as above: runs are found per stretch and joined over the cuts, one row a stretch."""
+    d = rows.withColumn("__b", block)
+    by = W.partitionBy(group, "__b").orderBy(*order)
+    starts = (F.row_number().over(by) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(by))
+    d = d.withColumn("__s", starts.cast("int")).withColumn("__l", F.sum("__s").over(by.rowsBetween(W.unboundedPreceding, 0)))
     at = F.struct(*order)
-    return d.groupBy(group, "run", value).agg(F.count("*").alias("n"), F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"))
+    v = F.struct(F.col(value).alias("v"))  # a struct, so that a null value is a value
+    ends = d.groupBy(group, "__b").agg(F.sum("__s").alias("__n"), F.min_by(v, at).alias("__first"), F.max_by(v, at).alias("__last"))
+    over = W.partitionBy(group).orderBy("__b")
+    ends = ends.withColumn("__m", F.coalesce(F.col("__first").eqNullSafe(F.lag("__last").over(over)), F.lit(False)).cast("int"))
+    prior = over.rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(group, "__b", (F.coalesce(F.sum("__n").over(prior), F.lit(0)) - F.sum("__m").over(over.rowsBetween(W.unboundedPreceding, 0))).alias("__c"))
+    per = d.groupBy(group, "__b", "__l", value).agg(F.count("*").alias("n"), F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"))
+    j = per.join(carry, [group, "__b"]).withColumn("run", F.col("__l") + F.col("__c"))
+    return j.groupBy(group, "run", value).agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
 
 
 def option_bodies(marks: DataFrame) -> DataFrame:

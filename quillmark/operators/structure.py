@@ -1,12 +1,13 @@
-"""Lines to exercises, questions and solutions with window sums only (one shuffle by document).
+"""Lines to exercises, questions and solutions with running counts only.
 
-Every rule of the splitter is a running count over the ordered lines of a document: exercises open a group, questions
-open a group within it, the first solution heading of a question opens its second section.
+Every rule of the splitter is a running count, or a last value, over the ordered lines of a document: exercises open a
+group, questions open a group within it, the first solution heading of a question opens its second section. The counts
+run per block of lines and are carried from block to block, so a document of any length is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +28,24 @@ def without_page_numbers(lines: DataFrame, height: float = 792.0) -> DataFrame:
     return lines.where(~F.coalesce(margin & F.col("text").rlike(PAGE_NUMBER), F.lit(False)))
 
 
+#: Lines of a document that one window takes; longer documents are cut here and the counts carried over.
+BLOCK = 20_000
+
+
+def running(d: DataFrame, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
+    """Running sums and last non-null values over a document's lines in order. Windows run per block of lines; what a
+    block starts from comes from the blocks before it, one row each, so no task holds a whole document."""
+    own = W.partitionBy("doc_id", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumns({f"__{n}": c for n, c in {**sums, **lasts}.items()})
+    totals = d.groupBy("doc_id", "block").agg(*(F.sum(f"__{n}").alias(f"t_{n}") for n in sums), *(F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col("line_no"))).alias(f"t_{n}") for n in lasts))
+    carry = totals.select("doc_id", "block", *(F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"c_{n}") for n in sums), *(F.last(f"t_{n}", ignorenulls=True).over(before).alias(f"c_{n}") for n in lasts))
+    local = d.withColumns({**{f"l_{n}": F.sum(f"__{n}").over(own) for n in sums}, **{f"l_{n}": F.last(f"__{n}", ignorenulls=True).over(own) for n in lasts}})
+    j = local.join(carry, ["doc_id", "block"])
+    out = {**{n: F.col(f"l_{n}") + F.col(f"c_{n}") for n in sums}, **{n: F.coalesce(f"l_{n}", f"c_{n}") for n in lasts}}
+    return j.withColumns(out).drop(*(f"{p}_{n}" for p in ("l", "c", "_") for n in out))
+
+
 def marked(lines: DataFrame) -> DataFrame:
     """Lines (doc_id, line_no, page, text, x0, x1, top, bottom) with their exercise, question and section.
 
@@ -34,34 +53,36 @@ def marked(lines: DataFrame) -> DataFrame:
     belongs to nothing and is dropped; a second solution heading is content; the first chapter line is taken out."""
     one = lines.where("text is not null").dropDuplicates(["doc_id", "line_no"])
     lead = F.regexp_extract("text", LEAD, 0)
-    core = F.substring("text", F.length(lead) + 1, F.length("text"))
-    d = one.select("*", F.trim(lead).alias("lead"), core.alias("core"))
-    by = W.partitionBy("doc_id").orderBy("line_no")
-    run = by.rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("is_ch", F.col("core").rlike(CHAPTER)).withColumn("n_ch", F.sum(F.col("is_ch").cast("int")).over(run))
-    d = d.withColumn("chapter", F.first(F.when(F.col("is_ch"), F.col("core")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    d = d.where(~(F.col("is_ch") & (F.col("n_ch") == 1)))
-    d = d.withColumn("is_ex", F.col("core").rlike(EXERCISE)).withColumn("is_q", ~F.col("is_ex") & F.col("core").rlike(QUESTION))
-    d = d.withColumn("headed", F.sum(F.col("is_ex").cast("int")).over(run)).withColumn("q_all", F.sum(F.col("is_q").cast("int")).over(run))
-    # questions before any exercise heading open an exercise of their own
-    d = d.withColumn("orphan", F.max((F.col("is_q") & (F.col("headed") == 0)).cast("int")).over(W.partitionBy("doc_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    d = d.withColumn("exercise", F.col("headed") - 1 + F.col("orphan"))
-    in_ex = W.partitionBy("doc_id", "headed").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("question", F.sum(F.col("is_q").cast("int")).over(in_ex) - 1)
+    d = one.withColumns({"lead": F.trim(lead), "core": F.substring("text", F.length(lead) + 1, F.length("text")), "block": F.floor(F.col("line_no") / BLOCK)})
+    d = d.withColumns({"is_ch": F.col("core").rlike(CHAPTER), "is_ex": F.col("core").rlike(EXERCISE)})
+    d = d.withColumn("is_q", ~F.col("is_ex") & F.col("core").rlike(QUESTION))
+    d = d.withColumn("is_sol", ~F.col("is_ex") & ~F.col("is_q") & F.col("core").rlike(SOLUTION))
+    n = lambda c: F.col(c).cast("int")
+    d = running(d, {"n_ch": n("is_ch"), "n_ex": n("is_ex"), "n_q": n("is_q"), "n_sol": n("is_sol")}, {})
     title = F.upper(F.coalesce(F.nullif(F.regexp_extract("core", EXERCISE, 1), F.lit("")), F.regexp_extract("core", EXERCISE, 2)))
-    d = d.withColumn("title", F.coalesce(F.first(F.when(F.col("is_ex"), title), ignorenulls=True).over(in_ex), F.lit("UNKNOWN")))
+    at = lambda c, v: F.when(F.col(c), v)
+    d = running(
+        d,
+        {},
+        {
+            "title": at("is_ex", title),
+            "q_at_ex": at("is_ex", F.col("n_q")),
+            "q_first": F.when(F.col("is_ex") & (F.col("n_ex") == 1), F.col("n_q")),  # questions before any exercise heading
+            "label": at("is_q", F.regexp_extract("core", QUESTION, 1)),
+            "sol_at_q": at("is_q", F.col("n_sol")),
+        },
+    )
+    d = d.where(~(F.col("is_ch") & (F.col("n_ch") == 1)))
+    # questions before any exercise heading stand in an exercise of their own, which comes first
+    orphans = F.when(F.col("n_ex") == 0, 1).otherwise((F.col("q_first") > 0).cast("int"))
+    d = d.withColumns({"exercise": F.col("n_ex") - 1 + orphans, "question": F.col("n_q") - F.coalesce("q_at_ex", F.lit(0)) - 1, "title": F.coalesce("title", F.lit("UNKNOWN"))})
     d = d.where("question >= 0 and not is_ex")
-    in_q = W.partitionBy("doc_id", "headed", "question")
-    d = d.withColumn("is_sol", F.col("core").rlike(SOLUTION) & ~F.col("is_q"))
-    d = d.withColumn("sol_at", F.min(F.when(F.col("is_sol"), F.col("line_no"))).over(in_q))
-    opens = F.col("is_sol") & (F.col("line_no") == F.col("sol_at"))
-    d = d.withColumn("section", F.when(F.col("line_no") >= F.col("sol_at"), "solution").otherwise("question"))
-    d = d.withColumn("label", F.first(F.when(F.col("is_q"), F.regexp_extract("core", QUESTION, 1)), ignorenulls=True).over(in_q))
+    since = F.col("n_sol") - F.col("sol_at_q")
+    d = d.withColumns({"opens": F.col("is_sol") & (since == 1), "section": F.when(since > 0, "solution").otherwise("question")})
     word = F.lower(F.coalesce(F.nullif(F.regexp_extract("core", SOLUTION, 1), F.lit("")), F.regexp_extract("core", SOLUTION, 2)))
-    d = d.withColumn("heading", F.first(F.when(opens, F.when(word.startswith("ans"), "answer").otherwise("solution")), ignorenulls=True).over(in_q))
     rest = lambda p: F.trim(F.concat_ws(" ", F.nullif("lead", F.lit("")), F.nullif(X.strip(F.regexp_replace("core", p, "")), F.lit(""))))
-    content = F.when(F.col("is_q"), rest(QUESTION)).when(opens, rest(SOLUTION)).otherwise(F.col("text"))
-    return d.withColumn("content", content)
+    content = F.when(F.col("is_q"), rest(QUESTION)).when(F.col("opens"), rest(SOLUTION)).otherwise(F.col("text"))
+    return d.withColumns({"heading": F.when(F.col("opens"), F.when(word.startswith("ans"), "answer").otherwise("solution")), "content": content})
 
 
 def sections(lines: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def chapter_options(s, d):
 
 def document_signatures(s, d):
     q = table(s, d, "question").where("documentId is not null and id is not null").select("documentId", "id", "stem", "answer", "explanation", "questionType").distinct()
-    return R.signature(q, "documentId", ["id", "stem", "answer", "explanation", "questionType"], ["id"])
+    return R.signature(q, "documentId", ["id", "stem", "answer", "explanation", "questionType"])
 
 
 def object_names(s, d):
@@ -292,8 +292,9 @@ SQL = {
     "document_status": f'with {_ILATEST} select "documentId", status from il',
     "stage_counts": f"with {_ILATEST} select status as stage, count(*) as n from il group by 1",
     "chapter_options": "select distinct 'chapter' as field, trim(v) as value from (select chapter as v from ingest_document union all select chapter from syllabus union all select module from ingest_document union all values ('Core'), ('Appendix')) where trim(v) <> ''",
-    "document_signatures": """with q as (select distinct "documentId", id, stem, answer, explanation, "questionType" from question where "documentId" is not null and id is not null), h as (select "documentId", id, sha256(id || chr(31) || coalesce(stem, chr(0)) || chr(31) || coalesce(answer, chr(0)) || chr(31) || coalesce(explanation, chr(0)) || chr(31) || coalesce("questionType", chr(0))) as h from q)
-  select "documentId", sha256(string_agg(h, chr(10) order by id, h)) as signature, count(*)::int as records from h group by 1""",
+    "document_signatures": """with q as (select distinct "documentId", id, stem, answer, explanation, "questionType" from question where "documentId" is not null and id is not null), h as (select "documentId", sha256(id || chr(31) || coalesce(stem, chr(0)) || chr(31) || coalesce(answer, chr(0)) || chr(31) || coalesce(explanation, chr(0)) || chr(31) || coalesce("questionType", chr(0))) as h from q),
+  b as (select "documentId", substr(h, 1, 3) as k, sha256(string_agg(h, chr(10) order by h)) as d, count(*) as n from h group by 1, 2)
+  select "documentId", sha256(string_agg(k || d, chr(10) order by k)) as signature, sum(n)::bigint as records from b group by 1""",
     "object_names": f"with {_CROPS} select id, url, file, object from nm",
     "rewritten_records": f"""with {_CROPS}, mp as (select id, map_from_entries(list((url, 'https://store.example/' || object))) as m from nm group by id), q as (select * from (select *, row_number() over (partition by id order by "updatedAt") as rn from question where id is not null) where rn = 1)
   select q.id, array_to_string(list_transform(images, lambda u: coalesce(m[u], u)), '|') as images, case when "questionImage" is not null then coalesce(m["questionImage"], "questionImage") end as "questionImage", array_to_string(list_transform("imageCrops", lambda c: coalesce(m[c.url], c.url)), '|') as crops, array_to_string(list_transform("explanationImages", lambda u: coalesce(m[u], u)), '|') as explanation_images from q left join mp using (id)""",

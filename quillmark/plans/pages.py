@@ -49,7 +49,7 @@ def line_height(s, d):
 
 def line_batches(s, d):
     t = table(s, d, "page_line").dropDuplicates(["doc_id", "line_no"])
-    return R.numbered_batches(t.select("doc_id", "line_no"), "doc_id", ["line_no"], 12)
+    return R.numbered_batches(t.select("doc_id", "line_no"), "doc_id", ["line_no"], 12, F.floor(F.col("line_no") / structure.BLOCK))
 
 
 def image_tokens(s, d):

@@ -22,7 +22,7 @@ def event_usage(s, d):
 
 
 def event_runs(s, d):
-    return R.islands(table(s, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+    return R.islands(table(s, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"))
 
 
 def last_events(s, d):

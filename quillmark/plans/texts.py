@@ -85,11 +85,11 @@ def cache_hits(s, d):
 
 
 def source_signatures(s, d):
-    return R.signature(_docs(s, d).where("source is not null"), "source", ["doc_id", "text"], ["doc_id"])
+    return R.signature(_docs(s, d).where("source is not null"), "source", ["doc_id", "text"])
 
 
 def source_batches(s, d):
-    return R.numbered_batches(_docs(s, d).select("doc_id", F.coalesce("source", F.lit("none")).alias("source")), "source", ["doc_id"], 12).select("doc_id", "batch")
+    return R.numbered_batches(_docs(s, d).select("doc_id", F.coalesce("source", F.lit("none")).alias("source")), "source", ["doc_id"], 12, F.floor(F.col("doc_id") / 100_000)).select("doc_id", "batch")
 
 
 def source_usage(s, d):
@@ -139,7 +139,7 @@ SQL = {
   select doc_id, kind, case when kind = 'formula' then latex end as latex from e""",
     "cache_misses": "with w as (select doc_id, md5(text) as md5, kind from documents), good as (select distinct md5 from w where kind not in ('doubt_thread', 'exam_report')) select distinct md5 from w anti join good using (md5)",
     "cache_hits": "with w as (select doc_id, md5(text) as md5, kind from documents), good as (select distinct md5 from w where kind <> 'doubt_thread') select doc_id as id, md5 from w semi join good using (md5)",
-    "source_signatures": "with h as (select source, doc_id, sha256(doc_id || chr(31) || text) as h from documents where source is not null) select source, sha256(string_agg(h, chr(10) order by doc_id)) as signature, count(*)::int as records from h group by 1",
+    "source_signatures": "with h as (select source, sha256(doc_id || chr(31) || text) as h from documents where source is not null), b as (select source, substr(h, 1, 3) as k, sha256(string_agg(h, chr(10) order by h)) as d, count(*) as n from h group by 1, 2) select source, sha256(string_agg(k || d, chr(10) order by k)) as signature, sum(n)::bigint as records from b group by 1",
     "source_batches": "select doc_id, ((row_number() over (partition by coalesce(source, 'none') order by doc_id) - 1) // 12)::int as batch from documents",
     "source_usage": "select kind, lang, count(*) as calls, sum(n_chars)::bigint as input, sum(len(string_split(text, ' ')))::bigint as output from documents group by all",
     "guarded_writes": "select doc_id as key, case when kind not in ('review_log', 'doubt_thread') then 'moved' else coalesce(source, 'none') end as text, kind not in ('review_log', 'doubt_thread') as written from documents",

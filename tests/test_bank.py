@@ -149,7 +149,7 @@ def test_upsert(spark):
 
 def test_rollups(spark):
     rows = [(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "a"), (2, 1, None)]
-    got = sorted((r.g, r.run, r.v, r.n) for r in R.islands(spark.createDataFrame(rows, "g int, t int, v string"), "g", ["t"], "v").collect())
+    got = sorted((r.g, r.run, r.v, r.n) for r in R.islands(spark.createDataFrame(rows, "g int, t int, v string"), "g", ["t"], "v", F.floor(F.col("t") / 2)).collect())
     assert got == [(1, 1, "a", 2), (1, 2, None, 2), (1, 3, "a", 1), (2, 1, None, 1)]
     m = spark.createDataFrame([("q", "x (a) one (b) two", 2, 6), ("q", "x (a) one (b) two", 10, 14)], "id string, text string, start int, end int")
     assert [r.body for r in R.option_bodies(m).orderBy("start").collect()] == ["one", "two"]
@@ -157,7 +157,26 @@ def test_rollups(spark):
     assert sorted((r.i, r.s) for r in k.collect()) == [(1, "a"), (3, "b")]
     s1 = spark.createDataFrame([("g", 1, "x"), ("g", 2, None)], "g string, i int, t string")
     s2 = spark.createDataFrame([("g", 2, None), ("g", 1, "x")], "g string, i int, t string")
-    assert R.signature(s1, "g", ["i", "t"], ["i"]).collect() == R.signature(s2, "g", ["i", "t"], ["i"]).collect()
+    assert R.signature(s1, "g", ["i", "t"]).collect() == R.signature(s2, "g", ["i", "t"]).collect()
+    assert R.signature(s1, "g", ["i", "t"]).first().signature != R.signature(s1.limit(1), "g", ["i", "t"]).first().signature
+
+
+def test_islands_and_batches_over_cuts_against_brute_force(spark):
+    import random
+    from itertools import groupby
+
+    rng = random.Random(1)
+    rows = [(g, t, rng.choice(["a", "b", None])) for g in range(3) for t in range(60)]
+    d = spark.createDataFrame(rows, "g int, t int, v string")
+    want = set()
+    for g in range(3):
+        for run, (v, own) in enumerate(groupby([r for r in rows if r[0] == g], key=lambda r: r[2]), 1):
+            ts = [r[1] for r in own]
+            want.add((g, run, v, len(ts), ts[0], ts[-1]))
+    for width in (1, 7, 1000):
+        cut = F.floor(F.col("t") / width)
+        assert {(r.g, r.run, r.v, r.n, r.first_at, r.last_at) for r in R.islands(d, "g", ["t"], "v", cut).collect()} == want
+        assert {(r.g, r.t, r.batch) for r in R.numbered_batches(d, "g", ["t"], 12, cut).collect()} == {(g, t, t // 12) for g, t, _ in rows}
 
 
 def test_gate_and_missing(spark):

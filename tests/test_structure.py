@@ -26,6 +26,14 @@ def test_splitter_titles_labels_and_sections(spark):
     assert one.question_text == "[[eq:p001_eq000.png]] Draw." and one.solution_text == "" and one.heading == "answer"
 
 
+def test_long_documents_are_cut_into_blocks(spark, monkeypatch):
+    t = make(spark, ["Chapter 1", *GOLDEN, *GOLDEN[3:], "Chapter 2 again"]).unionByName(make(spark, GOLDEN, doc=2, start=5))
+    whole = sorted(map(str, structure.sections(t).collect()))
+    for n in (1, 2, 5):
+        monkeypatch.setattr(structure, "BLOCK", n)
+        assert sorted(map(str, structure.sections(t).collect())) == whole
+
+
 def test_chapter_line_is_taken_once(spark):
     got = structure.sections(make(spark, ["Chapter 3 Light", "Q.1 See", "Chapter 4 is next"])).collect()
     assert [r.question_text for r in got] == ["See\nChapter 4 is next"]
