@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
@@ -121,5 +120,5 @@ def links_in(pages: DataFrame, pattern: str) -> DataFrame:
     """(page_id, pos, url, slug, id): links of a page in order, each target id once at its first place."""
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("pos", "url"))
     parts = found.withColumn("s", F.split("url", "/")).withColumn("id", F.element_at("s", -1)).withColumn("slug", F.try_element_at("s", F.lit(-2)))
-    first = F.row_number().over(W.partitionBy("page_id", "id").orderBy("pos"))
-    return parts.withColumn("n", first).where("n = 1").select("page_id", "pos", "url", "slug", "id")
+    g = parts.groupBy("page_id", "id").agg(F.min_by(F.struct("pos", "url", "slug"), "pos").alias("r"))
+    return g.select("page_id", "r.pos", "r.url", "r.slug", "id")
