@@ -397,11 +397,11 @@ def mapping(found: DataFrame, secret: str, most: int = 12) -> DataFrame:
     the least of them, until every surrogate is of one entity only."""
     key = secret.encode()
 
-    @F.udf("string")
+    @F.udf(returnType="string", useArrow=True)
     def canonical(kind, text):
         return entity_of(kind, text)
 
-    @F.udf("string")
+    @F.udf(returnType="string", useArrow=True)
     def draw(kind, entity, turn):
         return surrogate(key, kind, entity, turn)
 
@@ -435,7 +435,7 @@ def replaced(documents: DataFrame, secret: str = "change-me") -> DataFrame:
     found = written(detected(documents), "p8-found")
     names = mapping(found, secret)
 
-    @F.udf("string")
+    @F.udf(returnType="string", useArrow=True)
     def canonical(kind, text):
         return entity_of(kind, text)
 
