@@ -88,7 +88,11 @@ def marked(lines: DataFrame) -> DataFrame:
 def sections(lines: DataFrame) -> DataFrame:
     """One row per question: (doc_id, exercise, title, question, label, number, page_start, heading, question_text,
     solution_text, lines)."""
-    m = marked(lines)
+    return sections_of(marked(lines))
+
+
+def sections_of(m: DataFrame) -> DataFrame:
+    """The same from marked lines."""
     joined = lambda s: F.array_join(
         F.transform(F.array_sort(F.collect_list(F.when((F.col("section") == s) & (F.col("content") != ""), F.struct("line_no", "content")))), lambda x: x["content"]), "\n"
     )
@@ -109,7 +113,12 @@ def sections(lines: DataFrame) -> DataFrame:
 
 def regions(lines: DataFrame) -> DataFrame:
     """One bounding box per question and page, rounded to a tenth; lines without a position do not count."""
-    m = marked(lines).where("x0 is not null and x1 is not null and top is not null and bottom is not null")
+    return regions_of(marked(lines))
+
+
+def regions_of(m: DataFrame) -> DataFrame:
+    """The same from marked lines."""
+    m = m.where("x0 is not null and x1 is not null and top is not null and bottom is not null")
     g = m.groupBy("doc_id", "exercise", "question", "page").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
     r1 = lambda c: F.floor(F.col(c) * 10.0 + 0.5).cast("double") / 10.0
     return g.select("doc_id", "exercise", "question", "page", *(r1(c).alias(c) for c in ("x0", "top", "x1", "bottom")))

@@ -9,7 +9,7 @@ from quillmark.functions import geometry as G
 from quillmark.functions import text as X
 from quillmark.operators import clusters, export, images, lines, review, structure
 from quillmark.operators import rollups as R
-from quillmark.runtime import table
+from quillmark.runtime import table, written
 
 
 def _lines(s, d):
@@ -130,10 +130,11 @@ def remapped(s, d):
 
 
 def export_records(s, d):
-    q = structure.sections(_lines(s, d))
+    m = written(structure.marked(_lines(s, d)), "marked")  # read twice: by sections and by regions
+    q = structure.sections_of(m)
     manual = s.createDataFrame([], export.MANUAL)
     doc = q.select("doc_id").distinct().select("doc_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in s.createDataFrame([], export.DOCUMENT).schema.fields if f.name != "doc_id"))
-    r = export.records(q, manual, doc, structure.regions(_lines(s, d)), table(s, d, "image_box"), "2024-01-01T00:00:00.000Z")
+    r = export.records(q, manual, doc, structure.regions_of(m), table(s, d, "image_box"), "2024-01-01T00:00:00.000Z")
     return r.select("id", "questionNumber", "stem", "answer", "explanation", "sectionName", "flagged", F.size("images").alias("n_images"), F.size("imageCrops").alias("n_crops"), F.col("sourceRegion.page").alias("page"))
 
 
