@@ -7,7 +7,8 @@ its candidates get channel probability times corpus n-gram likelihood, and each
 candidate words.
 
 Corpus counts (words, word pairs, title parts, hyphenated compounds) come from one pre-aggregated pass over all
-texts and are written once. The list of suspect words is broadcast in shards of at most ``SHARD`` entries; with more,
+texts and are written once. Title parts and compounds are looked up by a join, with what the lines of each field ask
+for, so that the same bar holds at every size. The list of suspect words is broadcast in shards of at most ``SHARD`` entries; with more,
 the texts are passed once per shard. Word-pair counts join only the suspects' own contexts, by hash.
 
 Cases: null fields stay null and have no noise; empty texts stay empty; line breaks alone are no noise; ids that
@@ -156,6 +157,44 @@ def repair_lines(text: str, titles, compounds, chapter: str | None = None) -> tu
     return "\n".join(x.rstrip() for x in out).strip("\n"), kinds
 
 
+def _end(text: str) -> str:
+    """As much of a paragraph's end as a word split at its end can take."""
+    return " ".join(text.rsplit(" ", 3)[-3:])
+
+
+def asked(text: str, chapter: str | None = None) -> tuple[set[str], set[str]]:
+    """Title parts and compounds that repair_lines may look up: at least those it does, whatever is found."""
+    titles: set[str] = set()
+    compounds: set[str] = set()
+    own = chapter.casefold() if chapter else None
+    ends: set[str] = set()  # what the paragraph so far may end with
+    for line in text.split("\n") if "\n" in text else ():
+        s = line.strip()
+        if not s:
+            ends = set()
+            continue
+        may_go = bool((s[-1].isdigit() or s[-1] in "])-–—~*|") and _PAGE.match(s))
+        if s[0].isupper() or s[0].isdigit() or s[0] in "~*=-[(|":
+            parts, _, spaced = title_parts(s)
+            if parts and (spaced or own in parts):
+                continue
+            titles.update(parts)
+            may_go = may_go or bool(parts)
+        after = set(ends) if may_go else set()
+        right = _ALPHA.match(s)
+        for e in ends:
+            m = _SPLIT.search(e) if e[-1] in "-=¬ " else None
+            if m and right:
+                if m[2] == "-":
+                    compounds.add(f"{m[1]}-{right[0]}".lower())
+                    after.add(_end(e.rstrip() + s))
+                after.add(_end(e[: m.start(1)] + m[1] + s))
+            after.add(_end(e.rstrip() + " " + s))
+        after.add(_end(line.rstrip() if line[:1] != " " else s))
+        ends = after
+    return titles, compounds
+
+
 def candidates(word: str) -> dict[str, float]:
     """Words that misreading may have turned into this one (up to two places), with the channel's probability."""
     def once(w: str) -> dict[str, float]:
@@ -339,22 +378,42 @@ def replaced(text: str, changes: list[tuple[int, int, str]]) -> str:
     return text
 
 
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows to (id, field_name, h, kind, word): the title parts (3) and compounds (4) each field asks for."""
+    for b in batches:
+        out = []
+        for i, name, h, chapter, text in zip(*(c.to_pylist() for c in b.columns)):
+            titles, compounds = asked(display(text), chapter)
+            out += [(i, name, h, k, w) for k, ws in ((3, titles), (4, compounds)) for w in ws]
+        cols = list(zip(*out)) or [()] * 5
+        kind = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kind)], names=["id", "field_name", "h", "kind", "word"])
+
+
+def _fields(questions: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, field_name, chapter, text, titles, compounds): every field with those of its title parts and compounds
+    that recur in the corpus."""
+    q = questions.where("id is not null").select("id", F.col("path.chapter").alias("chapter"), F.expr("stack(2, 'stem', stem, 'explanation', explanation) as (field_name, text)"))
+    fields = q.where("text is not null").select("id", "field_name", F.xxhash64("chapter", "text").alias("h"), "chapter", "text")
+    asks = fields.where("text like '%\\n%'").mapInArrow(_asks, "id string, field_name string, h bigint, kind int, word string")
+    recur = counts.where(f"kind in (3, 4) and n >= {RECURS}").select("kind", "word")
+    of = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("word")))
+    got = asks.join(recur, ["kind", "word"]).groupBy("id", "field_name", "h").agg(of(3).alias("titles"), of(4).alias("compounds"))
+    return fields.join(got, ["id", "field_name", "h"], "left").drop("h")
+
+
 def _first(shared):
-    """Rows to (id, field_name, text, kinds, lines, keys): structure repaired, suspects laid out."""
+    """Fields to (id, field_name, text, kinds, lines, keys): structure repaired, suspects laid out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        titles, compounds, known, every = shared.value
+        known, every = shared.value
         for b in batches:
             out = []
-            col = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            for i, chapter, *texts in zip(col["id"], col["chapter"], col["stem"], col["explanation"]):
-                for name, raw in zip(("stem", "explanation"), texts):
-                    if raw is None:
-                        continue
-                    text, kinds = repair_lines(display(raw), titles, compounds, chapter)
-                    lines = lattice(text, known) if known else []
-                    if kinds or lines or every:
-                        out.append((i, name, text if lines or every else None, sorted(kinds), json.dumps(lines) if lines else None, lattice_keys(lines) if lines else None))
+            for i, name, chapter, raw, titles, compounds in zip(*(c.to_pylist() for c in b.columns)):
+                text, kinds = repair_lines(display(raw), titles or (), compounds or (), chapter)
+                lines = lattice(text, known) if known else []
+                if kinds or lines or every:
+                    out.append((i, name, text if lines or every else None, sorted(kinds), json.dumps(lines) if lines else None, lattice_keys(lines) if lines else None))
             cols = list(zip(*out)) or [()] * 6
             kind = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kind)], names=["id", "field_name", "text", "kinds", "lines", "keys"])
@@ -382,15 +441,9 @@ def repaired(questions: DataFrame, every: bool = True) -> DataFrame:
     only fields with noise, and the text only where words changed."""
     spark = questions.sparkSession
     counts = census(questions)
-    # title parts and compounds recur: at least RECURS times and once in SHARD of all, so at most SHARD are kept
-    total = {r.kind: r.n for r in counts.where("kind in (3, 4)").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    least = {k: max(RECURS, math.ceil(total.get(k, 0) / SHARD)) for k in (3, 4)}
-    small = counts.where(f"(kind = 3 and n >= {least[3]}) or (kind = 4 and n >= {least[4]})").select("kind", "word").collect()
-    titles = frozenset(r.word for r in small if r.kind == 3)
-    compounds = frozenset(r.word for r in small if r.kind == 4)
     bad = written(suspects(counts), "p5-suspects")
     shards = max(1, math.ceil(bad.count() / SHARD))
-    q = questions.where("id is not null").select("id", F.col("path.chapter").alias("chapter"), "stem", "explanation")
+    fields = _fields(questions, counts)
     parts = []
     for s in range(shards):
         own = bad if shards == 1 else bad.where(F.pmod(F.xxhash64("wrong"), F.lit(shards)) == s)
@@ -399,8 +452,8 @@ def repaired(questions: DataFrame, every: bool = True) -> DataFrame:
             known.setdefault(r.wrong, []).append((r.right, r.n_right, r.logp, r.n_wrong))
         for w, o in known.items():
             o.sort(key=lambda x: (-x[2] - math.log(x[1]), x[0]))
-        shared = spark.sparkContext.broadcast((titles, compounds, known, every and s == 0))
-        parts.append(q.mapInArrow(_first(shared), "id string, field_name string, text string, kinds array<string>, lines string, keys array<bigint>"))
+        shared = spark.sparkContext.broadcast((known, every and s == 0))
+        parts.append(fields.mapInArrow(_first(shared), "id string, field_name string, text string, kinds array<string>, lines string, keys array<bigint>"))
     first = parts[0]
     for p in parts[1:]:
         first = first.unionByName(p)

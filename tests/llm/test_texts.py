@@ -101,3 +101,36 @@ def test_misread_words_are_decoded(spark):
 def test_channel_candidates():
     assert "modern" in S.candidates("rnodern") and "cyclist" in S.candidates("cychst") and "pulley" in S.candidates("pu11ey")
     assert "seconds" not in S.candidates("sceonds") and S.candidates("x" * 50) == {}
+
+
+_PIECE = st.sampled_from(["a", "lens", "Step Sequences", "Light and Glass", "well-", "known-", "b'c-", "right", "-", "word -", "- 7 -", "12", "", "Unit Tests | 4", "x y z-", "see well-", "known end.", "*a-", " pad-"])
+
+
+@given(st.lists(_PIECE, max_size=9), st.sets(st.sampled_from(["step sequences", "light and glass", "unit tests"])), st.integers(0, 7))
+@settings(max_examples=400, deadline=None)
+def test_what_repair_looks_up_is_asked_for(lines, titles, pick):
+    text = "\n".join(lines)
+    compounds, seen = set(), set()
+
+    class Recurring:
+        """Compounds looked up: some are known."""
+
+        def __contains__(self, w):
+            seen.add(w)
+            return (len(w) + pick) % 3 == 0
+
+    S.repair_lines(text, titles, Recurring(), "Light and Glass")
+    compounds = {w for w in seen if w in Recurring()}
+    asked, parts = S.asked(text, "Light and Glass")[1], S.asked(text, "Light and Glass")[0]
+    assert seen <= asked
+    assert S.repair_lines(text, titles & parts, compounds & asked, "Light and Glass") == S.repair_lines(text, titles, compounds, "Light and Glass")
+
+
+def test_two_occurrences_suffice_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD", 3, raising=False)
+    head, cut = "Step Sequences 7\nthe lens rests", "a well-\nknown lens rests"
+    rows = [("h1", head, None), ("h2", head, None), ("c1", cut, None), ("c2", "a well-known lens, a well-known drum", None)]
+    rows += [(f"t{i}", f"Title {chr(65 + i)}pple\nthe lens rests", f"the odd{chr(97 + i)}-even lens") for i in range(20)]
+    d = spark.createDataFrame([(i, None, s, e) for i, s, e in rows], "id string, path struct<module:string,chapter:string,section:string>, stem string, explanation string")
+    found = {(r.id, k) for r in S.repaired(d, every=False).collect() for k in r.kinds}
+    assert found == {("h1", "header"), ("h1", "page_number"), ("h2", "header"), ("h2", "page_number")}
