@@ -8,8 +8,9 @@ candidate words.
 
 Corpus counts (words, word pairs, title parts, hyphenated compounds) come from one pre-aggregated pass over all
 texts and are written once. Title parts and compounds are looked up by a join, with what the lines of each field ask
-for, so that the same bar holds at every size. The list of suspect words is broadcast in shards of at most ``SHARD`` entries; with more,
-the texts are passed once per shard. Word-pair counts join only the suspects' own contexts, by hash.
+for, so that the same bar holds at every size. Suspect words join the words of the repaired fields, of which a bitmap
+of ``BITS`` hash values lets through the suspects and few others; each field gets all its suspects before it is decoded.
+Word-pair counts join only the suspects' own contexts, by hash.
 
 Cases: null fields stay null and have no noise; empty texts stay empty; line breaks alone are no noise; ids that
 repeat give each kind once; a field of nothing but furniture becomes empty.
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,8 @@ CONFUSIONS = {
 RATIO = 20
 #: Occurrences a right word needs; records in which a title part must recur.
 KNOWN, RECURS = 4, 2
-SHARD = 200_000
+#: Size of the bitmap of suspect words; where it is too small, more words are joined in vain.
+BITS = 1 << 24
 
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?:[.,:/]\d+)*(?![^\W_])")
 _FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\$[^$\n]{1,60}\$", re.S)
@@ -294,6 +297,49 @@ def suspects(counts: DataFrame) -> DataFrame:
 _TOKENS = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\S+", re.S)
 
 
+def _bitmap(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(size, dtype=bool)
+        for b in batches:
+            on[[xxhash.xxh3_64_intdigest(w) % size for w in b.column(0).to_pylist()]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+class Maybe:
+    """Words that may be suspects: all that are, and those that share a hash value with one."""
+
+    def __init__(self, bits: bytes, size: int) -> None:
+        self.bits, self.size, self.seen = bits, size, {}
+
+    def __contains__(self, word: str) -> bool:
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            h = xxhash.xxh3_64_intdigest(word) % self.size
+            got = self.seen[word] = bool(self.bits[h >> 3] & (128 >> (h & 7)))
+        return got
+
+
+def _words(line: str, low: str) -> tuple[list[tuple[int, int]], list[str]]:
+    """The tokens of a line and their words; formulae and numbers as classes."""
+    spans = [(m.start(), m.end()) for m in _TOKENS.finditer(line)]
+    return spans, ["\x01" if low[a : a + 1] == "\\" else trimmed(_NUMBER.sub("9", low[a:e])) for a, e in spans]
+
+
+def suspect_words(text: str, maybe) -> set[str]:
+    """The words by which lattice() may find suspects."""
+    out: set[str] = set()
+    for line in text.split("\n"):
+        low = line.lower()
+        if some := {t for w in low.split() if (t := trimmed(w)) in maybe}:
+            out |= some
+            out.update(w for w in _words(line, low)[1] if w in maybe)
+    return out
+
+
 def lattice(text: str, known: dict[str, list]) -> list[dict]:
     """For each line with suspects: tokens around them and the candidates of each suspect."""
     out = []
@@ -301,11 +347,7 @@ def lattice(text: str, known: dict[str, list]) -> list[dict]:
     for line in text.split("\n"):
         low = line.lower()
         if any(trimmed(w) in known for w in low.split()):
-            spans = [(m.start(), m.end()) for m in _TOKENS.finditer(line)]
-            words = []
-            for a, e in spans:
-                t = low[a:e]
-                words.append("\x01" if t[:1] == "\\" else trimmed(_NUMBER.sub("9", t)))
+            spans, words = _words(line, low)
             hits = [i for i, w in enumerate(words) if w in known]
             if hits:
                 out.append({"at": at, "spans": spans, "words": words, "hits": hits, "options": [known[words[i]] for i in hits]})
@@ -402,25 +444,42 @@ def _fields(questions: DataFrame, counts: DataFrame) -> DataFrame:
     return fields.join(got, ["id", "field_name", "h"], "left").drop("h")
 
 
-def _first(shared):
-    """Fields to (id, field_name, text, kinds, lines, keys): structure repaired, suspects laid out."""
+def _first(shared, size: int):
+    """Fields to (id, field_name, text, kinds, maybe): structure repaired, with the words that may be suspects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, every = shared.value
+        bits, every = shared.value
+        maybe = Maybe(bits, size)
         for b in batches:
             out = []
             for i, name, chapter, raw, titles, compounds in zip(*(c.to_pylist() for c in b.columns)):
                 text, kinds = repair_lines(display(raw), titles or (), compounds or (), chapter)
-                lines = lattice(text, known) if known else []
-                if kinds or lines or every:
-                    out.append((i, name, text if lines or every else None, sorted(kinds), json.dumps(lines) if lines else None, lattice_keys(lines) if lines else None))
-            cols = list(zip(*out)) or [()] * 6
-            kind = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kind)], names=["id", "field_name", "text", "kinds", "lines", "keys"])
+                words = sorted(suspect_words(text, maybe))
+                if kinds or words or every:
+                    out.append((i, name, text if words or every else None, sorted(kinds), words or None))
+            cols = list(zip(*out)) or [()] * 5
+            kind = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kind)], names=["id", "field_name", "text", "kinds", "maybe"])
 
     return run
 
 
+def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, field_name, text, kinds, suspects) to (id, field_name, text, kinds, lines, keys): suspects laid out."""
+    for b in batches:
+        lines, keys = [], []
+        for text, found in zip(b.column(2).to_pylist(), b.column(4).to_pylist()):
+            known: dict[str, list] = {}
+            for r in found:
+                known.setdefault(r["wrong"], []).append((r["right"], r["n_right"], r["logp"], r["n_wrong"]))
+            for o in known.values():
+                o.sort(key=lambda x: (-x[2] - math.log(x[1]), x[0]))
+            ln = lattice(text, known) if known else []
+            lines.append(json.dumps(ln) if ln else None)
+            keys.append(lattice_keys(ln) if ln else None)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(lines, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "field_name", "text", "kinds", "lines", "keys"])
+
+
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         col = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
@@ -442,27 +501,21 @@ def repaired(questions: DataFrame, every: bool = True) -> DataFrame:
     spark = questions.sparkSession
     counts = census(questions)
     bad = written(suspects(counts), "p5-suspects")
-    shards = max(1, math.ceil(bad.count() / SHARD))
-    fields = _fields(questions, counts)
-    parts = []
-    for s in range(shards):
-        own = bad if shards == 1 else bad.where(F.pmod(F.xxhash64("wrong"), F.lit(shards)) == s)
-        known: dict[str, list] = {}
-        for r in own.collect():
-            known.setdefault(r.wrong, []).append((r.right, r.n_right, r.logp, r.n_wrong))
-        for w, o in known.items():
-            o.sort(key=lambda x: (-x[2] - math.log(x[1]), x[0]))
-        shared = spark.sparkContext.broadcast((known, every and s == 0))
-        parts.append(fields.mapInArrow(_first(shared), "id string, field_name string, text string, kinds array<string>, lines string, keys array<bigint>"))
-    first = parts[0]
-    for p in parts[1:]:
-        first = first.unionByName(p)
-    first = first.distinct()
+    bits = np.zeros(-(-BITS // 8), dtype=np.uint8)
+    for r in bad.select("wrong").coalesce(16).mapInArrow(_bitmap(BITS), "bits binary").collect():
+        bits |= np.frombuffer(r.bits, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast((bits.tobytes(), every))
+    fields = _fields(questions, counts).mapInArrow(_first(shared, BITS), "id string, field_name string, text string, kinds array<string>, maybe array<string>")
+    fields = written(fields.distinct(), "p5-fields")
+    option = F.struct("wrong", "right", "n_right", "logp", "n_wrong")
+    own = fields.where("maybe is not null").withColumn("wrong", F.explode("maybe")).join(bad, "wrong", "left").groupBy("id", "field_name", "text", "kinds").agg(F.collect_list(F.when(F.col("right").isNotNull(), option)).alias("suspects"))
+    first = own.mapInArrow(_lay, "id string, field_name string, text string, kinds array<string>, lines string, keys array<bigint>")
     pairs = counts.where("kind = 2").select("key", "n")
     ask = first.withColumn("key", F.explode_outer("keys")).join(pairs, "key", "left")
     got = ask.groupBy("id", "field_name", "text", "kinds", "lines").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("key", "n"))).alias("found"))
     laid = got.select("id", "field_name", "text", "kinds", "lines", F.col("found.key").alias("ks"), F.col("found.n").alias("ns"))
-    return laid.mapInArrow(_second, "id string, field_name string, text string, kinds array<string>")
+    decoded = laid.mapInArrow(_second, "id string, field_name string, text string, kinds array<string>")
+    return fields.where("maybe is null").select("id", "field_name", "text", "kinds").unionByName(decoded)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

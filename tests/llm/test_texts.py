@@ -134,3 +134,16 @@ def test_two_occurrences_suffice_at_any_size(spark, monkeypatch):
     d = spark.createDataFrame([(i, None, s, e) for i, s, e in rows], "id string, path struct<module:string,chapter:string,section:string>, stem string, explanation string")
     found = {(r.id, k) for r in S.repaired(d, every=False).collect() for k in r.kinds}
     assert found == {("h1", "header"), ("h1", "page_number"), ("h2", "header"), ("h2", "page_number")}
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 24])
+def test_a_field_gets_all_its_suspects_at_once(spark, monkeypatch, bits):
+    monkeypatch.setattr(S, "SHARD", 2, raising=False)
+    monkeypatch.setattr(S, "BITS", bits, raising=False)
+    rows = [(f"g{i}", "The modern lens rests on the black floor beside the other drum.", "Turn the drum and read the lens.") for i in range(60)]
+    rows += [("m1", "The rnodern 1ens rests on tbe b1ack fl0or.", None), ("m2", "The modern lens\n- 7 -\nrests on the bl-\nack floor.", ""), ("m3", "Tbe\n- 7 -\nrnodern 1ens", "b1ack")]
+    d = spark.createDataFrame([(i, None, s, e) for i, s, e in rows], "id string, path struct<module:string,chapter:string,section:string>, stem string, explanation string")
+    got = [tuple(r) for r in S.repaired(d).select("id", "field_name", "text", "kinds").collect()]
+    assert len(got) == len({r[:2] for r in got}) == 60 * 2 + 1 + 2 + 2 and all(r[2] is not None for r in got)
+    want = {("m1", "stem"): "The modern lens rests on the black floor.", ("m2", "stem"): "The modern lens rests on the black floor.", ("m3", "stem"): "The modern lens", ("m3", "explanation"): "black"}
+    assert {r[:2]: r[2] for r in got if r[:2] in want} == want
