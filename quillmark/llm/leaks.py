@@ -90,10 +90,9 @@ def block_minhash(s: np.ndarray) -> np.ndarray:
 
 
 def least_containment(n: int) -> float:
-    """The least share of an item's shingles (item of n words) that a passage keeps: half of the words, each changed
-    word, one in ten, breaking SHINGLE shingles."""
-    part = int(np.ceil(SHARE * n))
-    kept = part - SHINGLE + 1 - SHINGLE * int(CHANGED * part)
+    """The least share of an item's shingles (item of n words) that a passage keeps: half of the words or more, each
+    changed word, one in ten, breaking SHINGLE shingles. A longer passage may keep fewer, where one more may change."""
+    kept = min(part - SHINGLE + 1 - SHINGLE * int(CHANGED * part + 1e-6) for part in range(int(np.ceil(SHARE * n)), n + 1))
     return max(1, kept) / (n - SHINGLE + 1)
 
 

@@ -183,3 +183,16 @@ def test_collisions_draw_again(spark, monkeypatch):
     monkeypatch.setattr(V, "surrogate", lambda s, k, e, t: "same" if t == 0 else real(s, k, e, t))
     m = V.mapping(f, "k").collect()
     assert len({r.surrogate for r in m}) == 6
+
+
+@pytest.mark.parametrize(("n", "part", "changed"), [(58, 30, (7, 15, 22)), (18, 10, (4,)), (78, 40, (8, 16, 24, 32))])
+def test_longer_passages_may_keep_fewer_shingles(n, part, changed):
+    known = {}
+    item = [f"word{i}" for i in range(n)]
+    got = [f"other{i}" if i in changed else w for i, w in enumerate(item[:part])]
+    doc = [f"before{i}" for i in range(40)] + got + [f"after{i}" for i in range(40)]
+    items = K.Items([(1, " ".join(item))])
+    assert longest(item, doc) >= 0.5 * n
+    assert items.need[0] <= len({tuple(item[i : i + 5]) for i in range(n - 4)} & {tuple(doc[i : i + 5]) for i in range(len(doc) - 4)})
+    d, w = K.hashes(doc, known), K.hashes(item, known)
+    assert K.verified(d, K.shingles(d), 0, len(d), w, items.grams[0], items.need[0])
