@@ -511,9 +511,10 @@ def repaired(questions: DataFrame, every: bool = True) -> DataFrame:
     own = fields.where("maybe is not null").withColumn("wrong", F.explode("maybe")).join(bad, "wrong", "left").groupBy("id", "field_name", "text", "kinds").agg(F.collect_list(F.when(F.col("right").isNotNull(), option)).alias("suspects"))
     first = own.mapInArrow(_lay, "id string, field_name string, text string, kinds array<string>, lines string, keys array<bigint>")
     pairs = counts.where("kind = 2").select("key", "n")
-    ask = first.withColumn("key", F.explode_outer("keys")).join(pairs, "key", "left")
-    got = ask.groupBy("id", "field_name", "text", "kinds", "lines").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("key", "n"))).alias("found"))
-    laid = got.select("id", "field_name", "text", "kinds", "lines", F.col("found.key").alias("ks"), F.col("found.n").alias("ns"))
+    first = first.withColumn("h", F.xxhash64("text", "kinds"))
+    ask = first.select("id", "field_name", "h", F.explode("keys").alias("key")).join(pairs, "key")
+    got = ask.groupBy("id", "field_name", "h").agg(F.collect_list("key").alias("ks"), F.collect_list("n").alias("ns"))
+    laid = first.join(got, ["id", "field_name", "h"], "left").select("id", "field_name", "text", "kinds", "lines", "ks", "ns")
     decoded = laid.mapInArrow(_second, "id string, field_name string, text string, kinds array<string>")
     return fields.where("maybe is null").select("id", "field_name", "text", "kinds").unionByName(decoded)
 
