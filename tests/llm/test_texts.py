@@ -62,6 +62,17 @@ def test_forms_are_idempotent(t):
     assert L.display(d) == d and L.key(L.key(t)) == L.key(t)
 
 
+@pytest.mark.parametrize(("raw", "want"), [("a\U0001d173b\U0001bca0c", "abc"), ("Ꭺpple ɡood", "Apple good"), ("Օne", "One"), ("/ɡɑ/", None), ("कि क़", None), ("か\u3099", "が"), ("приветк", None)])
+def test_more_scripts(raw, want):
+    assert L.display(raw) == (raw if want is None else want) and L.is_case(raw) == (want is not None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(), st.sampled_from(sorted(L._ODD))), max_size=12))
+def test_the_key_finds_every_case(t):
+    assert L.is_case(t) == (L.display(t) != t)
+
+
 def test_cases_and_keys(spark):
     rows = [("a", "ｘ", None), ("a", "ｘ", None), ("b", "x y", "Straße"), ("c", None, ""), (None, "ｘ", "ｘ"), ("d", "30° α²", "é")]
     d = spark.createDataFrame([(*r, 1) for r in rows], "id string, stem string, explanation string, extra int")
