@@ -23,22 +23,48 @@ CANON = [(1, "topic", "Sketching Bowl Curves", None), (2, "topic", "Motion on St
 def test_mapping(field, value, want):
     m = C.Mapper([(i, t, s, 1) for i, f, t, s in CANON if f == field])
     r = m.find(value)
-    assert (r[0] if r else -1) == want
+    assert (-1 if r is None else r) == want
 
 
 def test_deletes_find_all_near_keys():
     rng = random.Random(2)
-    keys = {"".join(rng.choice("abcde") for _ in range(rng.randint(4, 14))) for _ in range(150)}
+    keys = {"".join(rng.choice("abcde") for _ in range(rng.randint(2, 16))) for _ in range(300)}
     d = C.SymmetricDeletes(keys)
-    for _ in range(150):
+    pairs = 0
+    for _ in range(400):
         w = list(rng.choice(sorted(keys)))
-        for _ in range(rng.randint(0, 2)):
-            w[rng.randrange(len(w))] = rng.choice("abcde")
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w))
+            how = rng.randint(0, 3)
+            if how == 0:
+                w[k] = rng.choice("abcde")
+            elif how == 1 and len(w) > 1:
+                del w[k]
+            elif how == 2:
+                w.insert(k, rng.choice("abcde"))
+            elif k + 1 < len(w):
+                w[k], w[k + 1] = w[k + 1], w[k]
         q = "".join(w)
-        got = dict((b, a) for a, b in d.near(q))
-        for k in keys:
-            if (x := C.distance(k, q, 9)) <= 1 and len(k) >= 6:
-                assert got.get(k) == C.distance(q, k, 9) or abs(got[k] - x) < 1.1
+        want = {k for k in keys if C.edits(q, k) <= min(3, C.reach(max(len(q), len(k))))}
+        pairs += len(want)
+        assert {k for _, k in d.near(q)} == want and all(c == C.distance(q, k, 9) for c, k in d.near(q))
+    assert pairs > 400
+
+
+def test_blocks_settle_as_one_list(spark, monkeypatch):
+    """Ties, word weights and short forms over blocks of one entry are those of the whole list."""
+    rng = random.Random(5)
+    words = "light lens drum curve motion track bowl unit whole section field wave".split()
+    texts = list(dict.fromkeys(" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(14)))
+    canon = [(i, "topic", t.title(), "LL" if i in (2, 5) else f"S{i}" if i == 7 else None) for i, t in enumerate(texts)] + [(50, "topic", "Same Entry", None), (51, "topic", "Same Entri", None), (60, "exam", "BOARDS", None)]
+    typed = ["Same Entr", "ll", "s7", "LL x", "boards"] + [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(40)] + [t[:4] + " " + t[-5:] for t in texts] + texts[:3]
+    rows = [(f"q{i}", t, t if i % 7 == 0 else None, None) for i, t in enumerate(typed)] + [(f"x{i}", texts[4].title(), None, None) for i in range(3)]
+    d = spark.createDataFrame(rows, "id string, topic string, exam string, pyqExam string")
+    c = spark.createDataFrame(canon, "canon_id int, field_name string, canon_text string, short_form string")
+    one = sorted(tuple(r) for r in C.mapped(d, c).collect())
+    assert {("q0", "topic", -1), ("q1", "topic", -1), ("q2", "topic", 7)} <= set(one)
+    monkeypatch.setattr(C, "BLOCK", 1)
+    assert sorted(tuple(r) for r in C.mapped(d, c).collect()) == one
 
 
 def test_mapped_rows(spark, monkeypatch):
