@@ -12,6 +12,9 @@ for, so that the same bar holds at every size. Suspect words join the words of t
 of ``BITS`` hash values lets through the suspects and few others; each field gets all its suspects before it is decoded.
 Word-pair counts join only the suspects' own contexts, by hash.
 
+A word's characters that are no letters are all undone, letters in up to two places. A string of over ``WORD``
+characters is no word of a language and is left alone.
+
 Cases: null fields stay null and have no noise; empty texts stay empty; line breaks alone are no noise; ids that
 repeat give each kind once; a field of nothing but furniture becomes empty.
 """
@@ -44,11 +47,16 @@ CONFUSIONS = {
 RATIO = 20
 #: Occurrences a right word needs; records in which a title part must recur.
 KNOWN, RECURS = 4, 2
+#: Characters of the longest string taken for a word.
+WORD = 64
 #: Size of the bitmap of suspect words; where it is too small, more words are joined in vain.
 BITS = 1 << 24
 
+#: Confusions of one character that is no letter.
+_ODD = frozenset(c for c in CONFUSIONS if len(c) == 1 and not c.isalpha())
+
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?:[.,:/]\d+)*(?![^\W_])")
-_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\$[^$\n]{1,60}\$", re.S)
+_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|(?<!\S)\$(?=\S)[^$\n]*(?<=\S)\$(?![^\W_])", re.S)
 _EDGE = ".,;:?()[]\"'“”‘’।"
 
 
@@ -89,10 +97,10 @@ def unspaced(line: str) -> tuple[str, bool]:
 
 def title_parts(line: str) -> tuple[list[str], bool, bool]:
     """(parts, numbered, spaced) of a line that looks like a running title; no parts where it does not."""
-    if not line or len(line) > 160:
+    if not line:
         return [], False, False
     t, spaced = unspaced(line)
-    if len(t) > 90 or t.rstrip()[-1:] in (".", "?", ",", ";", "।") or "\\" in t:
+    if t.rstrip()[-1:] in (".", "?", ",", ";", "।") or "\\" in t:
         return [], False, False
     core = _AT_ENDS.sub("", t).strip(_DECOR)
     numbered = any(c.isdigit() for c in t) and not any(c.isdigit() for c in core)
@@ -198,25 +206,40 @@ def asked(text: str, chapter: str | None = None) -> tuple[set[str], set[str]]:
     return titles, compounds
 
 
-def candidates(word: str) -> dict[str, float]:
-    """Words that misreading may have turned into this one (up to two places), with the channel's probability."""
-    def once(w: str) -> dict[str, float]:
-        out: dict[str, float] = {}
-        for i in range(len(w)):
-            for n in (1, 2):
-                for right, p in CONFUSIONS.get(w[i : i + n], ()) if i + n <= len(w) else ():
-                    v = w[:i] + right + w[i + n :]
-                    out[v] = max(out.get(v, 0.0), p)
-        return out
+def _once(w: str) -> dict[str, float]:
+    """What one misread place may have been."""
+    out: dict[str, float] = {}
+    for i in range(len(w)):
+        for n in (1, 2):
+            for right, p in CONFUSIONS.get(w[i : i + n], ()) if i + n <= len(w) else ():
+                v = w[:i] + right + w[i + n :]
+                out[v] = max(out.get(v, 0.0), p)
+    return out
+
 
-    if len(word) > 40:
+def candidates(word: str, least: float = 1e-12) -> dict[str, float]:
+    """Words that misreading may have turned into this one, with the channel's probability where it is not under
+    ``least``: up to two places anywhere, or every character that is no letter and up to two places more."""
+    if len(word) > WORD:
         return {}
-    one = once(word)
+    one = _once(word)
     out = dict(one)
     for w, p in one.items():
-        for v, q in once(w).items():
-            if v != word and not (len(v) == len(word) and sorted(v) == sorted(word)):  # a swap is a slip of the hand
+        for v, q in _once(w).items():
+            if v != word and p * q >= least and not (len(v) == len(word) and sorted(v) == sorted(word)):  # a swap is a slip of the hand
                 out[v] = max(out.get(v, 0.0), p * q)
+    odd = [i for i, c in enumerate(word) if c in _ODD]
+    if len(odd) > 2:
+        whole = {"": 1.0}
+        for c in word:
+            # a mark that is no letter was one
+            ways = CONFUSIONS[c] if c in _ODD else ((c, 1.0),)
+            whole = {w + right: p * q for w, p in whole.items() for right, q in ways if p * q >= least}
+        for w, p in whole.items():
+            out[w] = max(out.get(w, 0.0), p)
+            for v, q in _once(w).items():
+                if p * q >= least:
+                    out[v] = max(out.get(v, 0.0), p * q)
     return out
 
 
@@ -274,20 +297,27 @@ def census(questions: DataFrame) -> DataFrame:
     return written(got.groupBy("kind", "word", "key").agg(F.sum("n").alias("n")), "p5-counts")
 
 
-def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if len(w) >= 2 and any("a" <= c <= "z" for c in w):
-                out += [(w, n, v, math.log(p)) for v, p in candidates(w).items() if v.isalpha() or "-" in v]
-        cols = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.float64()))], names=["wrong", "n_wrong", "word", "logp"])
+def _suspects(most: int):
+    """Words to their candidates; most: occurrences of the most frequent word, which bound how improbable a misreading
+    can be that still passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(w) >= 2 and any("a" <= c <= "z" for c in w):
+                    out += [(w, n, v, math.log(p)) for v, p in candidates(w, 0.1 * n / most).items() if v.isalpha() or "-" in v]
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.float64()))], names=["wrong", "n_wrong", "word", "logp"])
+
+    return run
 
 
 def suspects(counts: DataFrame) -> DataFrame:
     """(wrong, n_wrong, right, n_right, logp): words that a much more frequent word explains."""
     words = counts.where("kind = 1").select("word", "n")
-    ask = words.mapInArrow(_suspects, "wrong string, n_wrong bigint, word string, logp double")
+    most = words.agg(F.max("n")).first()[0] or 1
+    ask = words.where(F.col("n") * RATIO <= most).mapInArrow(_suspects(most), "wrong string, n_wrong bigint, word string, logp double")
     known = words.where(F.col("n") >= KNOWN).select("word", F.col("n").alias("n_right"))
     # the more improbable the misreading, the larger the distance in frequency it takes
     least = F.greatest(F.lit(float(RATIO)), F.lit(0.1) / F.exp("logp"))

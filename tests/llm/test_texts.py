@@ -112,6 +112,15 @@ def test_misread_words_are_decoded(spark):
 def test_channel_candidates():
     assert "modern" in S.candidates("rnodern") and "cyclist" in S.candidates("cychst") and "pulley" in S.candidates("pu11ey")
     assert "seconds" not in S.candidates("sceonds") and S.candidates("x" * 50) == {}
+    assert "classified" in S.candidates("c1a$$1f1ed") and "classified" in S.candidates("c1a551f1cd") and "classified" not in S.candidates("c1a$$1f1ed", 1e-4)
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    assert long in S.candidates(long.replace("m", "rn", 1)) and S.candidates("ab1" * 30_000) == {}
+
+
+def test_long_titles_and_formulae():
+    title = "The Complete Companion to Motion on Straight Tracks and Curved Tracks " * 3
+    assert S.repair_lines(f"a\n{title}\nb", {title.strip().casefold()}, set())[1] == {"header"}
+    assert S._lm("see $" + "x + y " * 30 + "+ z$ and $tone or gla$$ here") == ["see", "\x01", "and", "$tone", "or", "gla$$", "here"]
 
 
 _PIECE = st.sampled_from(["a", "lens", "Step Sequences", "Light and Glass", "well-", "known-", "b'c-", "right", "-", "word -", "- 7 -", "12", "", "Unit Tests | 4", "x y z-", "see well-", "known end.", "*a-", " pad-"])
