@@ -56,7 +56,7 @@ BITS = 1 << 24
 _ODD = frozenset(c for c in CONFUSIONS if len(c) == 1 and not c.isalpha())
 
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?:[.,:/]\d+)*(?![^\W_])")
-_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|(?<!\S)\$(?=\S)[^$\n]*(?<=\S)\$(?![^\W_])", re.S)
+_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|(?<!\S)(\$\$?)(?=[^\s$])[^$\n]*(?<=\S)\1(?![^\W_]|\$)", re.S)
 _EDGE = ".,;:?()[]\"'“”‘’।"
 
 
