@@ -1,14 +1,15 @@
 """Problem 6: texts packed into containers of fixed capacity (best-two-fit).
 
 Texts are sized once in tokens of a public tokenizer. A text longer than a container is cut into full pieces and a
-rest; nothing else is cut. Items go by a hash of their id into shards of about ``SHARD_TOKENS`` tokens, so that no task
-grows with the data and no source or size is hot; every shard is packed on its own, which costs at most one partly
-filled container a shard.
+rest; nothing else is cut. Items go by a hash of their id into shards of about ``SHARD_TOKENS`` tokens and at most about
+``SHARD_DOCS`` texts, so that no task grows with the data and no source or size is hot; every shard is packed on its
+own, which costs at most one partly filled container a shard.
 
 Within a shard a container is filled greedily with the largest item that fits. If a gap is left, its smallest item
 gives way to two unpacked items that fit the widened gap more tightly, if there are such. Items of one size are
 interchangeable, so the search runs over distinct sizes only. Where greedy filling alone needs fewer containers for a
-shard, its packing is kept.
+shard, its packing is kept (the compound of best-two-fit and a decreasing-size filling that Friesen and Langston
+analysed in 1991: either is best on other mixes of sizes).
 
 Cases: null texts count as empty; empty texts take no room and stand in their shard's first container; capacities that
 are null or below one are left out; a table without documents gives no rows.
@@ -31,10 +32,10 @@ from quillmark.runtime import table, written
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern this vocabulary was made with (published with it), as a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS, SHARD_DOCS = 4_000_000, 50_000
 #: Characters encoded in one call; longer texts are cut at white space, where the pattern never joins words.
 PIECE = 200_000
-#: A longer run of white space is sized in pieces of this length (the encoder's pattern cannot take it whole).
+#: A run of white space as long as this is encoded without the pattern, which cannot take it whole.
 BLANKS = 4096
 
 _encoders: dict[str, object] = {}
@@ -64,7 +65,7 @@ def _cuts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-_LONG_BLANK = re.compile(rf"\s{{{BLANKS}}}")
+_LONG_BLANK = re.compile(rf"\s{{{BLANKS},}}")
 
 
 def _tokens(enc, text: str) -> int:
@@ -72,10 +73,13 @@ def _tokens(enc, text: str) -> int:
 
 
 def _count(enc, text: str) -> int:
+    """Tokens of the whole text. The pattern takes a run of white space as one piece, but for its last character where
+    text follows: that one goes with the next word, or is a piece of its own."""
     n = at = 0
     for m in _LONG_BLANK.finditer(text):
-        n += _tokens(enc, text[at : m.start()]) + len(enc.encode_ordinary(m[0]))
-        at = m.end()
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += _tokens(enc, text[at : m.start()]) + len(enc._core_bpe.encode_single_piece(text[m.start() : end].encode()))
+        at = end
     return n + _tokens(enc, text[at:])
 
 
@@ -207,8 +211,8 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str | None =
     """One row per text (or piece of an oversized text) and capacity: the container it is in."""
     tokenizer = tokenizer or os.environ.get("QUILLMARK_TOKENIZER", TOKENIZER)
     sizes = written(sized(documents, tokenizer), "p6-sizes")
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_TOKENS))
+    total, docs = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-total // SHARD_TOKENS), -(-docs // SHARD_DOCS))
     # a list of container sizes is a parameter: every size packs all documents anew
     caps = capacities.where("n_tokens >= 1 and capacity_id is not null").select("capacity_id", F.col("n_tokens").cast("int").alias("capacity")).distinct()
     wanted = [F.struct(F.lit(r.capacity_id).alias("capacity_id"), F.lit(r.capacity).alias("capacity")) for r in caps.toLocalIterator()]

@@ -113,6 +113,23 @@ def test_packed_rows(spark):
     assert B.packed(d.limit(0), caps).count() == 0 and B.packed(d, caps.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(B.TOKENIZER), reason="no tokenizer here")
+def test_long_blanks_are_sized_as_the_tokenizer_does(monkeypatch):
+    enc = B.encoder(B.TOKENIZER)
+    rng = random.Random(3)
+    monkeypatch.setattr(B, "_LONG_BLANK", B.re.compile(r"\s{5,}"))
+    for _ in range(300):
+        t = "".join(rng.choice(["word", " ", " " * 7, "\n" * 6, "\t \n" * 3, "x1", "'s", ".", "\u3000" * 5, " \r\n" * 4]) for _ in range(rng.randint(1, 9)))
+        assert B._count(enc, t) == len(enc.encode_ordinary(t)), t
+
+
+def test_many_empty_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(B, "SHARD_DOCS", 10)
+    d = spark.createDataFrame([(i, "") for i in range(200)], "doc_id bigint, text string")
+    got = B.packed(d, spark.createDataFrame([(1, 128)], "capacity_id int, n_tokens int")).groupBy("container").count().collect()
+    assert sum(r["count"] for r in got) == 200 and len(got) >= 10 and max(r["count"] for r in got) < 40
+
+
 def passage(rng, vocab, item, share, changed):
     n = len(item)
     length = int(np.ceil(share * n))
