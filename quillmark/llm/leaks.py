@@ -4,19 +4,23 @@ Items are partitioned by size. For each partition every document is read as over
 partition's largest item, so that short items meet sets of comparable size however long the document is. Windows and
 items are compared by MinHash; a pair whose equal values reach what the least containment implies is a candidate.
 Candidates are verified exactly: containment of the item's five-word shingles in the window, then the longest run of
-the item's words, in order and on one diagonal, with at most one changed word in ten.
+the item's words, in order and on one diagonal, with at most one changed (substituted) word in ten.
+
+Items so short that their least containment leaves MinHash too little to go by are looked up by their shingles
+instead, exactly; items of under ten words, of which half holds no shingle for certain, by the runs of half their
+words (so few words leave none to change).
 
 The items are the stated query set: they are read in blocks of at most ``BLOCK`` and broadcast block by block; all
-documents pass each block. Nothing of the documents is shuffled or collected.
+documents pass each block. Nothing of the documents is shuffled or collected; a worker builds a block's index once.
 
-Cases: null texts and texts of under five words hold nothing; items of under five words are matched as a whole run;
-repeated texts each count under their own id; an empty item table gives no rows. Words are pieces between white
-space without marks, lower-cased.
+Cases: null and empty texts hold nothing; repeated texts each count under their own id; an empty item table gives no
+rows. Words are pieces between white space without marks, lower-cased.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -59,12 +63,12 @@ def hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    n = len(h) - SHINGLE + 1
+def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    n = len(h) - size + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
     s = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
+    for k in range(size):
         s += h[k : k + n] * _ROLL[k]
         s ^= s >> np.uint64(31)
     return s * np.uint64(0x9E3779B97F4A7C15)
@@ -124,31 +128,61 @@ def longest_run(item: np.ndarray, doc: np.ndarray, shift: int) -> int:
     return best
 
 
+class Runs:
+    """Where runs of ``size`` words stand in items, by hash."""
+
+    def __init__(self, size: int, items: list[tuple[int, np.ndarray]]) -> None:
+        self.size = size
+        rows = [shingles(h, size) for _, h in items]
+        code = np.concatenate(rows)
+        item = np.repeat(np.array([x for x, _ in items]), [len(r) for r in rows])
+        at = np.concatenate([np.arange(len(r)) for r in rows])
+        order = np.argsort(code, kind="stable")
+        self.code, self.item, self.at = code[order], item[order], at[order]
+
+    def hits(self, row: np.ndarray) -> np.ndarray:
+        """Distinct (item, shift) of the runs that stand in a document's row of hashed runs."""
+        lo = self.code.searchsorted(row, "left")
+        some = np.flatnonzero((lo < len(self.code)) & (self.code[np.minimum(lo, len(self.code) - 1)] == row))
+        if not len(some):
+            return np.empty((0, 2), dtype=np.int64)
+        lo, n = lo[some], self.code.searchsorted(row[some], "right") - lo[some]
+        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(np.stack([self.item[which], np.repeat(some, n) - self.at[which]], axis=1), axis=0)
+
+
 class Items:
     """One block of items, by size partition."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         known: dict[str, int] = {}
-        self.ids, self.words, self.grams, self.short = [], [], [], []
+        self.ids, self.words, self.grams = [], [], []
+        halves: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for i, text in rows:
             h = hashes(words_of(text), known)
             if not len(h):
                 continue
-            if len(h) < 2 * SHINGLE:  # half of it has no shingle to go by
-                self.short.append((i, h))
+            if len(h) < 2 * SHINGLE:
+                halves[-(-len(h) // 2)].append((i, h))
                 continue
             self.ids.append(i)
             self.words.append(h)
             self.grams.append(np.unique(shingles(h)))
+        self.halves = [Runs(k, own) for k, own in sorted(halves.items())]
         self.need = np.array([least_containment(len(w)) * len(g) - 1e-9 for w, g in zip(self.words, self.grams)])
         groups: dict[int, list[int]] = defaultdict(list)
         for x, g in enumerate(self.grams):
             groups[int(np.ceil(np.log(len(g)) / np.log(STEP)))].append(x)
-        self.every = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(1, dtype=np.uint64)
         self.parts = []
+        exact: list[tuple[int, np.ndarray]] = []
+        sized: list[np.ndarray] = []
         for k, xs in sorted(groups.items()):
             upper = -(-int(np.ceil(STEP**k)) // BASE) * BASE
             j = min((s := least_containment(len(self.words[x])) * (g := len(self.grams[x]))) / (g + 2 * upper - s) for x in xs)
+            if np.exp(-HASHES * j) > MISS:  # even one equal value is too much to ask for
+                exact += [(x, self.words[x]) for x in xs]
+                continue
+            sized += [self.grams[x] for x in xs]
             need = least_equal(HASHES * j)
             code = np.concatenate([minhash(self.grams[x]).min(axis=0).astype(np.uint64) | (np.arange(HASHES, dtype=np.uint64) << np.uint64(32)) for x in xs])
             own = np.repeat(np.array(xs), HASHES)
@@ -157,6 +191,8 @@ class Items:
             sieve = np.zeros(1 << 20, dtype=bool)
             sieve[(code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)] = True
             self.parts.append((upper, need, code, own, sieve))
+        self.exact = Runs(SHINGLE, exact) if exact else None
+        self.every = np.unique(np.concatenate(sized)) if sized else np.zeros(1, dtype=np.uint64)
 
 
 def candidates(s: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
@@ -194,13 +230,16 @@ def found_in(docs: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
     """(position of the document, item id) for documents given as word hashes. Their shingles stand in one row: a
     window over two documents can only add candidates, and every candidate is verified within one document."""
     out: set[tuple[int, int]] = set()
-    for i, h in items.short:
-        for d, doc in enumerate(docs):
-            if len(doc) >= len(h) and (np.lib.stride_tricks.sliding_window_view(doc, len(h)) == h).all(axis=1).any():
-                out.add((d, i))
+    for runs in items.halves:
+        out.update((d, int(i)) for d, doc in enumerate(docs) for i in runs.hits(shingles(doc, runs.size))[:, 0])
     rows = [shingles(d) for d in docs]
+    if items.exact:
+        for d, doc in enumerate(docs):
+            for x, shift in items.exact.hits(rows[d]).tolist():
+                if longest_run(items.words[x], doc, shift) >= SHARE * len(items.words[x]):
+                    out.add((d, items.ids[x]))
     ends = np.cumsum([len(r) for r in rows])
-    if not len(ends) or not ends[-1]:
+    if not items.parts or not len(ends) or not ends[-1]:
         return sorted(out)
     row = np.concatenate(rows)
     for x, start, end in candidates(row, items):
@@ -232,9 +271,20 @@ def verified(doc: np.ndarray, s: np.ndarray, start: int, end: int, item: np.ndar
     return any(longest_run(item, doc, d) >= need for d, _ in sorted(shifts.items(), key=lambda x: -x[1]))
 
 
-def _search(shared):
+_built: dict[str, Items] = {}
+
+
+def _index(name: str, rows: list[tuple[int, str]]) -> Items:
+    """The index of a block, built once in each worker; the last one only is kept."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(rows)
+    return _built[name]
+
+
+def _search(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value)
+        items = _index(name, shared.value)
         known: dict[str, int] = {}
         for b in batches:
             docs, got = [], []
@@ -271,7 +321,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     block: list[tuple[int, str]] = []
 
     def search(own: list[tuple[int, str]]) -> DataFrame:
-        return docs.mapInArrow(_search(spark.sparkContext.broadcast(own)), "doc_id bigint, item_id int")
+        return docs.mapInArrow(_search(spark.sparkContext.broadcast(own), uuid.uuid4().hex), "doc_id bigint, item_id int")
 
     for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
         block.append((r.item_id, r.text))
