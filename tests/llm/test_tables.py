@@ -241,6 +241,19 @@ def test_longer_passages_may_keep_fewer_shingles(n, part, changed):
     assert K.verified(d, K.shingles(d), 0, len(d), w, items.grams[0], items.need[0])
 
 
+def reaches(item, doc):
+    """Whether some stretch that begins with a right word holds half of the item."""
+    for d in range(-len(item), len(doc)):
+        same = [0 <= d + p < len(doc) and doc[d + p] == w for p, w in enumerate(item)]
+        for a in (p for p, x in enumerate(same) if x):
+            bad = 0
+            for b in range(a, len(item)):
+                bad += not same[b]
+                if bad <= 0.1 * (b - a + 1) + 1e-9 and b - a + 1 >= 0.5 * len(item):
+                    return True
+    return False
+
+
 @pytest.mark.parametrize("words", [(1, 9), (10, 19), (20, 45), (5, 120)])
 def test_items_of_any_length_against_brute_force(words):
     rng = random.Random(words[1])
@@ -258,7 +271,7 @@ def test_items_of_any_length_against_brute_force(words):
             doc[(at := rng.randrange(len(doc) + 1)) : at] = part
             doc = doc if k % 3 else [*item[: -(-len(item) // 2)], *doc]
         docs.append(doc)
-    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if longest(item, doc) >= 0.5 * len(item)}
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if reaches(item, doc)}
     got = set(K.found_in([K.hashes(d, known) for d in docs], index))
     # long items go by MinHash, which passes over a pair with the least containment once in 500 times
     assert want and got <= want and len(want - got) <= (len(want) // 100 if words[1] > 45 else 0)
