@@ -5,9 +5,10 @@ MinHash values are compared 64 at a time, and the pair is dropped as soon as the
 prior on the similarity) that it reaches the threshold falls below ``TOLERANCE``. What survives is verified exactly.
 
 Shape of the plan. Exact copies collapse first (``dropDuplicates`` combines before its shuffle), so a text copied
-a million times costs one row afterwards. Band keys travel as packed binary blocks, one per input batch and target
-partition, so that the shuffle moves few rows and no per-row overhead. A bucket with more than ``BLOCK`` members is
-cut into pairs of blocks that are spread over all tasks again.
+a million times costs one row afterwards. Band keys travel as packed binary blocks, one per ``GATHER`` texts and target
+partition, so that the shuffle moves few rows and no per-row overhead; there are as many partitions as the counted
+texts ask for (``PART_ROWS`` band rows each). A bucket with more than ``BLOCK`` members leaves its task as blocks; their
+pairs are made by a join of blocks, spread over all tasks again.
 
 Cases: null stems, and stems with fewer than ``MIN_WORDS`` distinct words, have no partner. Repeated rows of one id
 count once. An id that arrives with two different stems takes part with each. Empty tables give empty results.
@@ -36,7 +37,8 @@ THRESHOLD = 0.75
 ROWS, BANDS = 6, 30
 SIG_WORDS = 2
 TOLERANCE = 1e-4
-BLOCK = 2048
+#: Members of a bucket compared in one go; texts gathered into one packed block; band rows a partition.
+BLOCK, GATHER, PART_ROWS = 8192, 32_768, 2_000_000
 
 
 def words_of(text: str) -> set[str]:
@@ -83,10 +85,34 @@ def signatures(sets: list[set[str]]) -> np.ndarray:
 _ROW = np.dtype([("key", "<u4"), ("doc", "<i8"), ("n", "u1"), ("sig", "<u8", (SIG_WORDS,))])
 
 
+def band_rows(docs: list[int], sets: list[set[str]], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, row) of every band of every text."""
+    sig = signatures(sets)
+    size = np.minimum([len(s) for s in sets], 255).astype(np.uint8)
+    bits = np.packbits((sig[:, : 64 * SIG_WORDS] & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    key = (sig.reshape(-1, BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=2, dtype=np.uint64)
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(32)
+    row = np.empty(len(docs) * BANDS, dtype=_ROW)
+    row["key"] = key.ravel().astype(np.uint32)
+    row["doc"], row["n"], row["sig"] = (np.repeat(x, BANDS, axis=0) for x in (np.array(docs, dtype=np.int64), size, bits))
+    return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64).ravel(), row
+
+
 def _emit(parts: int):
     """Batches of (k, stem) to packed blocks of band rows: (part, rows)."""
 
+    def packed(part: list[np.ndarray], row: list[np.ndarray]) -> pa.RecordBatch:
+        p, r = np.concatenate(part), np.concatenate(row)
+        order = np.argsort(p, kind="stable")
+        p, r = p[order], r[order]
+        ids, at = np.unique(p, return_index=True)
+        cuts = np.append(at, len(p))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([r[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["part", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, held = [], [], 0
         for b in batches:
             docs, sets = [], []
             for k, s in zip(b.column(0).to_numpy(), b.column(1).to_pylist()):
@@ -96,26 +122,15 @@ def _emit(parts: int):
                     sets.append(w)
             if not docs:
                 continue
-            sig = signatures(sets)
-            doc = np.array(docs, dtype=np.int64)
-            size = np.minimum([len(s) for s in sets], 255).astype(np.uint8)
-            bits = np.packbits((sig[:, : 64 * SIG_WORDS] & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
-            key = (sig.reshape(-1, BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=2, dtype=np.uint64)
-            key ^= key >> np.uint64(29)
-            key *= np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(32)
-            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64).ravel()
-            order = np.argsort(part, kind="stable")
-            row = np.empty(len(part), dtype=_ROW)
-            of = order // BANDS
-            row["key"] = key.ravel()[order].astype(np.uint32)
-            row["doc"], row["n"], row["sig"] = doc[of], size[of], bits[of]
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            ids = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int32()), pa.array([row[cuts[p] : cuts[p + 1]].tobytes() for p in ids], pa.binary())],
-                names=["part", "rows"],
-            )
+            p, r = band_rows(docs, sets, parts)
+            part.append(p)
+            row.append(r)
+            held += len(docs)
+            if held >= GATHER:
+                yield packed(part, row)
+                part, row, held = [], [], 0
+        if held:
+            yield packed(part, row)
 
     return run
 
@@ -135,7 +150,8 @@ def _survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.binary())])
+_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("i", pa.int32()), ("of", pa.int32()), ("block", pa.binary())])
+_FOUND = "a long, b long, bucket long, i int, of int, block binary"
 
 
 def _pairs(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -157,43 +173,45 @@ def _pairs(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _batch(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     if seen and len(p := np.unique(np.concatenate(seen), axis=0)):
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.binary())], schema=_OUT)
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *(pa.nulls(len(p), t) for t in _OUT.types[2:])], schema=_OUT)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed rows of a partition to surviving pairs; oversized buckets to pairs of blocks instead."""
-    blocks = [v.as_buffer() for b in batches for v in b.column(b.schema.get_field_index("rows"))]
+    """All packed rows of a partition to surviving pairs; oversized buckets come out as blocks, each once."""
+    blocks, parts = [], []
+    for b in batches:
+        blocks += [v.as_buffer() for v in b.column(b.schema.get_field_index("rows"))]
+        parts += [np.full(len(v) // _ROW.itemsize, p, dtype=np.int64) for p, v in zip(b.column(0).to_pylist(), blocks[-b.num_rows :])]
     if not blocks:
         return
-    rows = np.concatenate([np.frombuffer(v, dtype=_ROW) for v in blocks])
-    del blocks
-    rows = rows[np.argsort(rows["key"], kind="stable")]
+    rows, part = np.concatenate([np.frombuffer(v, dtype=_ROW) for v in blocks]), np.concatenate(parts)
+    del blocks, parts
+    order = np.argsort(rows["key"], kind="stable")
+    rows, part = rows[order], part[order]
     same = rows["key"][1:] == rows["key"][:-1]
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     size = np.diff(np.append(first, len(rows)))
     large = size > BLOCK
-    for f, n in zip(first[large], size[large]):
-        own = rows[f : f + n]
-        cut = [own[i : i + BLOCK] for i in range(0, n, BLOCK)]
-        for i, x in enumerate(cut):
-            for y in cut[i:]:
-                block = [len(x).to_bytes(4, "little") + x.tobytes() + (y.tobytes() if y is not x else b"")]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(block, pa.binary())], schema=_OUT)
+    for f, n in zip(first[large].tolist(), size[large].tolist()):
+        of = -(-n // BLOCK)
+        bucket = (int(part[f]) << 32) | int(rows["key"][f])
+        for i in range(of):
+            block = rows[f + i * BLOCK : min(f + (i + 1) * BLOCK, f + n)].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([v], t) for v, t in zip((bucket, i, of, block), _OUT.types[2:]))], schema=_OUT)
     ok = np.repeat(~large, size)
     yield from _pairs(rows, np.flatnonzero(same & ok[1:] & ok[:-1]))
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One or two blocks of an oversized bucket: pairs within the one, or across the two."""
     for batch in batches:
-        for v in batch.column(0):
-            raw = v.as_py()
-            n = int.from_bytes(raw[:4], "little")
-            rows = np.frombuffer(raw, dtype=_ROW, offset=4)
-            x, y = rows[:n], rows[n:]
-            if not len(y):
+        for blocks in batch.column(batch.schema.get_field_index("blocks")):
+            x, *more = (np.frombuffer(v.as_buffer(), dtype=_ROW) for v in blocks.values)
+            if not more:
                 for b in _pairs(x, np.arange(len(x) - 1)):
                     yield b.select(["a", "b"])
                 continue
+            y = more[0]
             for i in range(len(x)):
                 a = np.repeat(x[i : i + 1], len(y))
                 k = _survivors(a, y)
@@ -224,11 +242,14 @@ def class_pairs(texts: DataFrame, parts: int | None = None) -> DataFrame:
     texts: distinct (k bigint, stem string), k = xxhash64(stem). Gives (ka, sa, kb, sb), each pair once.
     """
     spark = texts.sparkSession
-    parts = parts or shuffle_partitions(spark)
+    parts = parts or max(shuffle_partitions(spark), -(-texts.count() * BANDS // PART_ROWS))
     packed = texts.select("k", "stem").mapInArrow(_emit(parts), "part int, rows binary")
-    found = written(packed.repartitionById(parts, F.col("part")).mapInArrow(_compare, "a long, b long, block binary"), "p1")
+    found = written(packed.repartitionById(parts, F.col("part")).mapInArrow(_compare, _FOUND), "p1")
     direct = found.where("block is null").select("a", "b")
-    large = found.where("block is not null").select("block").repartition(parts).mapInArrow(_compare_blocks, "a long, b long")
+    # every block meets every block of its bucket once: both go to the pair's key
+    roles = found.where("block is not null").select("bucket", "i", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("j"))
+    met = roles.groupBy("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_list("block").alias("blocks"))
+    large = met.select("blocks").mapInArrow(_compare_blocks, "a long, b long")
     pairs = direct.unionByName(large).distinct()
     one = texts.select(F.col("k").alias("a"), F.col("stem").alias("sa"))
     two = texts.select(F.col("k").alias("b"), F.col("stem").alias("sb"))

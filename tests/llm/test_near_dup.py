@@ -88,10 +88,24 @@ def test_oversized_buckets_go_through_blocks(monkeypatch):
     whole = pairs(N._compare(iter([batch])))
     monkeypatch.setattr(N, "BLOCK", 7)
     cut = list(N._compare(iter([batch])))
-    blocks = [pa.RecordBatch.from_arrays([b.column(2)], names=["block"]) for b in cut if b.column(2).null_count == 0 and b.num_rows]
+    own = [(b.column(2)[0].as_py(), b.column(3)[0].as_py(), b.column(5)[0].as_py()) for b in cut if b.num_rows and b.column(5).null_count == 0]
+    assert len(own) == 6 and {b for b, _, _ in own} == {1} and [i for _, i, _ in own] == list(range(6))
+    met = [[own[i][2]] if i == j else [own[i][2], own[j][2]] for i in range(6) for j in range(i, 6)]
+    blocks = [pa.RecordBatch.from_arrays([pa.array([m], pa.list_(pa.binary()))], names=["blocks"]) for m in met]
     assert len(whole) == 40 * 39 // 2 and pairs(N._compare_blocks(iter(blocks))) == whole
 
 
+def test_blocks_and_partitions_change_nothing(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"id{k:02d}", f"{base} own{k}") for k in range(40)] + [(f"far{k}", " ".join(f"f{k}x{i}" for i in range(15))) for k in range(30)]
+    d = spark.createDataFrame(rows, "id string, stem string")
+    whole = {tuple(r) for r in N.alike_ids(d).collect()}
+    assert len(whole) == 40 * 39 // 2
+    for name, value in (("BLOCK", 9), ("GATHER", 5), ("PART_ROWS", 40)):
+        monkeypatch.setattr(N, name, value)
+        assert {tuple(r) for r in N.alike_ids(d).collect()} == whole
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = N.least_matches(128)
     p = (1 + N.THRESHOLD) / 2
