@@ -197,35 +197,75 @@ def test_detection(text, want):
     assert sorted((k, text[a:b]) for a, b, k in V.find(text)) == sorted(want)
 
 
+LOCAL, HOST = "a" * 150, ".".join(f"part{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"Write to {LOCAL}@{HOST}.example now", [("email", f"{LOCAL}@{HOST}.example")]), ("x at a" + " dot bc" * 30, [("email", "x at a" + " dot bc" * 30)]), ("Live at 12 Lake\nRoad, Pune 411 001.", [("address", "12 Lake\nRoad, Pune 411 001")]),
+        ("It was signed\nby Delna Holwecade.", [("name", "Delna Holwecade")]), ("Dr. R. Mehta said so", [("name", "R. Mehta")]), ("see -Mr Ravi Rao there", [("name", "Ravi Rao")]), (f"Signed by Delna {'M' + 'o' * 200}.", [("name", "Delna M" + "o" * 200)]),
+        ("मेरा नाम रवि शर्मा है। श्री अनिल वर्मा ने कहा।", [("name", "अनिल वर्मा"), ("name", "रवि शर्मा")]), ("छात्र: नेहा गुप्ता, मकान नं. 12, गांधी मार्ग, पुणे - 411001 पर", [("address", "मकान नं. 12, गांधी मार्ग, पुणे - 411001"), ("name", "नेहा गुप्ता")]),
+        ("My name is Anita Desai. Yesterday Anita Desai brought the lens.", [("name", "Anita Desai"), ("name", "Anita Desai")]), ("Sent by Ravi Rao" + " and then some words" * 4000, [("name", "Ravi Rao")]),
+    ],
+)
+def test_detection_without_gaps(text, want):
+    assert sorted((k, text[a:b]) for a, b, k in V.find(text)) == sorted(want)
+
+
+def test_entities():
+    got = V.entities_of_names(["Ravi Sharma", "R. Sharma", "SHARMA, RAVI", "Sharma", "Ravi K. Sharma", "K. Mehta", "Mehta", "A. Rao", "Asha Rao", "Amit Rao"])
+    assert {got[n] for n in ("Ravi Sharma", "R. Sharma", "SHARMA, RAVI", "Sharma", "Ravi K. Sharma")} == {"ravi sharma"}
+    assert got["K. Mehta"] == "k mehta" and got["A. Rao"] == "a rao" and got["Asha Rao"] != got["Amit Rao"]
+    assert V.entity_of("phone", "+91 98765 43210") == V.entity_of("phone", "98765 43210") == V.entity_of("phone", "098765-43210")
+    assert V.in_format("phone", "+91 98765 43210", "111222333") == "+91 91112 22333"
+    assert V.in_format("name", "R. K. Sharma", "milo zand", "ravi sharma")[:3] == "M. " and V.in_format("name", "sharma, r.", "milo zand", "ravi sharma") == "zand, m."
+    assert V.in_format("name", "SHARMA", "milo zand", "ravi sharma") == "ZAND"
+
+
+def test_gender_is_learned():
+    e = V.Endings([("asha", "f"), ("nisha", "f"), ("mira", "f"), ("rohan", "m"), ("kiran", "m"), ("arun", "m")])
+    assert e.of("elisha") == "f" and e.of("varun") == "m" and e.of("zzz") is None and V.Endings([]).of("asha") is None
+
+
 def test_surrogates(spark):
-    rows = [(1, "Mail me at jo.ann@desk.example. Thanks,\nAsha Lamlide\nPh: 415.555.0140"), (2, "As Lamlide, Asha pointed out, ring 415-555-0140? Ring 415.555.0140. Student: Asha Lamlide"), (3, None), (4, "nothing here"), (5, "Thanks,\nRohan Venrivik"), (5, "Thanks,\nRohan Venrivik")]
+    rows = [(1, "Mail me at jo.ann@desk.example. Thanks,\nAsha Lamlide\nPh: 415.555.0140"), (2, "As Lamlide, Asha pointed out, ring 415-555-0140? Ring 415.555.0140. Student: Asha Lamlide"), (3, None), (4, "nothing here"), (5, "Thanks,\nRohan Venrivik"), (5, "Thanks,\nRohan Venrivik"), (6, "Ask for Mrs. Nisha Holmo. Ask for Mr. Arun Calso."), (5, "Student: Rohan Venrivik, a longer text of the same id"), (7, "Student: Asha Lamlide. Thanks,\nA. Lamlide"), (8, "")]
     d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, source string")
-    got = {r.doc_id: r.text for r in V.replaced(d, "k").collect()}
-    assert got[3] is None and got[4] == "nothing here" and "Lamlide" not in got[1] + got[2] and "0140" not in got[1]
+    out = V.replaced(d, "k").collect()
+    got = {r.doc_id: r.text for r in out if r.doc_id != 5}
+    assert len(out) == len(rows) and got[8] == ""
+    assert got[3] is None and got[4] == "nothing here" and "Lamlide" not in got[1] + got[2] + got[7] and "0140" not in got[1]
     import re
 
     one = re.search(r"\[NAME:(\w+) (\w+)\]", got[1]).groups()
     other = re.search(r"\[NAME:(\w+), (\w+)\]", got[2]).groups()
     assert one == (other[1], other[0]) and one[0][-1] in "aei" and f"[NAME:{one[0]} {one[1]}]" in got[2]
+    assert got[7] == f"Student: [NAME:{one[0]} {one[1]}]. Thanks,\n[NAME:{one[0][0]}. {one[1]}]"
     phone = re.search(r"\[PHONE:(\d{3}\.\d{3}\.\d{4})\]", got[1])[1]
     assert f"[PHONE:{phone}]" in got[2] and got[1].startswith("Mail me at [EMAIL:") and got[1].split("]")[1] == ". Thanks,\n[NAME:" + " ".join(one)
+    five = sorted(r.text for r in out if r.doc_id == 5)
+    name = re.search(r"\[NAME:[^\]]+\]", five[0])[0]
+    assert five == sorted([f"Thanks,\n{name}"] * 2 + [f"Student: {name}, a longer text of the same id"]) and "Venrivik" not in name
     assert V.replaced(d.limit(0), "k").count() == 0
-    assert {r.doc_id: r.text for r in V.replaced(d, "k").collect()} == got != {r.doc_id: r.text for r in V.replaced(d, "other").collect()}
+    again = {r.doc_id: r.text for r in V.replaced(d, "k").collect() if r.doc_id != 5}
+    assert again == got != {r.doc_id: r.text for r in V.replaced(d, "other").collect() if r.doc_id != 5}
+    assert V.secret_of(spark) != V.secret_of(spark)
 
 
 def test_digit_cipher_is_a_permutation():
     out = {V._digits(b"k", "phone", f"{i:04d}") for i in range(10_000)}
     assert len(out) == 10_000 and all(len(x) == 4 for x in out)
     assert V.in_format("phone", "(415) 555-01", "98765432") == "(987) 654-32"
-    assert V.in_format("name", "LAMLIDE, ASHA", "mira sol") == "SOL, MIRA"
+    assert V.in_format("name", "LAMLIDE, ASHA", "mira sol", "asha lamlide") == "SOL, MIRA"
 
 
 def test_collisions_draw_again(spark, monkeypatch):
-    f = spark.createDataFrame([("name", f"Person{chr(97 + i)} One") for i in range(6)], "pii_type string, pii_text string")
+    f = spark.createDataFrame([("name", f"person{chr(97 + i)} one", None) for i in range(6)], "pii_type string, entity string, gender string")
     real = V.surrogate
-    monkeypatch.setattr(V, "surrogate", lambda s, k, e, t: "same" if t == 0 else real(s, k, e, t))
+    monkeypatch.setattr(V, "surrogate", lambda s, k, e, t, g: "same" if t == 0 else "persona one" if t == 1 else real(s, k, e, t, g))
     m = V.mapping(f, "k").collect()
-    assert len({r.surrogate for r in m}) == 6
+    # all but one of "same" draw again; all that drew a real entity do so once more
+    assert len({r.surrogate for r in m}) == 6 and "persona one" not in {r.surrogate for r in m} and sorted(r.turn for r in m) == [0, 2, 2, 2, 2, 2]
 
 
 @pytest.mark.parametrize(("n", "part", "changed"), [(58, 30, (7, 15, 22)), (18, 10, (4,)), (78, 40, (8, 16, 24, 32))])
