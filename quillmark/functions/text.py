@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,6 +113,40 @@ def fill_readings(text, readings) -> Column:
     return F.regexp_replace(F.coalesce(filled, _c(text)), r"[ \t]{2,}", " ")
 
 
+# ---- L3: every string of nested columns
+def converted(value: Column, kind: T.DataType, convert) -> Column:
+    """A nested value with ``convert`` applied to every string in it, map keys left alone."""
+    if isinstance(kind, T.StringType):
+        return convert(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: converted(v, kind.elementType, convert))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: converted(v, kind.valueType, convert))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(converted(value[f.name], f.dataType, convert).alias(f.name) for f in kind.fields)))
+    return value
+
+
+def changes(value: Column, kind: T.DataType, convert) -> Column:
+    """How many strings of a nested value ``convert`` changes; nulls are no strings."""
+    total = lambda a, t: F.aggregate(F.coalesce(a, F.array().cast(T.ArrayType(t))), F.lit(0), lambda n, v: n + changes(v, t, convert))
+    if isinstance(kind, T.StringType):
+        return F.coalesce((convert(value) != value).cast("int"), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return total(value, kind.elementType)
+    if isinstance(kind, T.MapType):
+        return total(F.map_values(value), kind.valueType)
+    if isinstance(kind, T.StructType):
+        return sum((changes(value[f.name], f.dataType, convert) for f in kind.fields), F.lit(0))
+    return F.lit(0)
+
+
+def merged_maps(a, b) -> Column:
+    """Both maps as one; where both have a key the second wins. A null map counts as empty."""
+    x, y = (F.coalesce(_c(m), F.create_map().cast("map<string,string>")) for m in (a, b))
+    return F.map_concat(F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k)), y)
+
+
 # ---- L9: options
 def split_options(text, qtype) -> tuple[Column, Column]:
     """(stem, options) of a choice question whose choices stand in its text.
@@ -145,7 +180,8 @@ def mark_correct(options, *texts) -> Column:
     """Options with the one ticked that the first text naming a present label names."""
     o = _c(options)
     present = F.transform(o, lambda x: x["label"])
-    want = F.coalesce(*(F.when(F.array_contains(present, named_option(t)), named_option(t)) for t in texts))
+    named = F.transform(F.array(*map(named_option, texts)), lambda n: F.when(F.array_contains(present, n), n))
+    want = F.get(F.array_compact(named), F.lit(0))
     return F.transform(o, lambda x: F.struct(x["label"].alias("label"), x["body"].alias("body"), F.coalesce(x["label"] == want, F.lit(False)).alias("isCorrect")))
 
 
@@ -193,6 +229,16 @@ def prose_words(x) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{3,}"), F.lit(0))
 
 
+@F.pandas_udf(T.IntegerType())
+def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([sum((Counter(x) & Counter(y)).values()) for x, y in zip(a, b)])
+
+
+def shared_count(a, b) -> Column:
+    """How many words two arrays of a row share, with repeats: the smaller of both counts, summed."""
+    return _shared(_c(a), _c(b))
+
+
 # ---- L17, L18
 def file_stem(x) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(x), r"^.*[/\\]", ""), r"\.[^.]*$", "")
@@ -280,12 +326,18 @@ def from_iso(x) -> Column:
 
 
 # ---- L4, L5: what needs Python
+def per_distinct(values: pd.Series, f) -> pd.Series:
+    """f once for each distinct value; null stays null."""
+    done = {v: f(v) for v in values.dropna().unique()}
+    return pd.Series([done.get(v) for v in values], dtype=object)
+
+
 def _latex_rules():
     import re
 
+    # Rewrites in this order, font commands first and until none is left.
     font = re.compile(r"(\\[A-Za-z]+)?\\(?:mathrm|mathbf|mathit|boldsymbol|textbf|textrm)\s*\{([A-Za-z0-9 ]{1,12})\}")
     tilde = re.compile(r"\\mathrm\{([^{}]*~[^{}]*)\}")
-    # Rewrites in this order.
     rules = [
         (re.compile(r"\\(?:textstyle|displaystyle)\s*"), ""),
         (re.compile(r"\^\{\s*(?:\*|\\ast|\\bullet)+\s*\}"), "*"),
@@ -302,11 +354,14 @@ def _latex_rules():
     return font, rules
 
 
+_LATEX_RULES = _latex_rules()
+
+
 def clean_latex_text(s: str | None) -> str | None:
     """Recogniser output without needless font commands and other habits of the recogniser."""
     if s is None:
         return None
-    font, rules = _latex_rules()
+    font, rules = _LATEX_RULES
     while (t := font.sub(lambda m: (f"{m[1]} " if m[1] else "") + m[2].replace(" ", ""), s)) != s:
         s = t
     for rx, to in rules:
@@ -317,8 +372,7 @@ def clean_latex_text(s: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def clean_latex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        seen: dict = {}
-        yield s.map(lambda v: None if v is None else seen.setdefault(v, clean_latex_text(v)))
+        yield per_distinct(s, clean_latex_text)
 
 
 def ocr_fix_text(s: str | None) -> str | None:
@@ -335,4 +389,4 @@ def ocr_fix_text(s: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def ocr_fix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(ocr_fix_text)
+        yield per_distinct(s, ocr_fix_text)

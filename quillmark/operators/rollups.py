@@ -117,6 +117,43 @@ def option_bodies(marks: DataFrame) -> DataFrame:
     return marks.select("id", "start", X.strip(F.substring(F.col("text"), F.col("end") + 1, stop - F.col("end"))).alias("body"))
 
 
+def script_runs(tokens: DataFrame, key: str, pos: str) -> DataFrame:
+    """(key, formula): tokens (key, pos, kind, tex) in order as one formula; runs of one script kind share their braces.
+    The tokens of one formula are few, so they are folded as an array."""
+    g = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "kind", "tex"))).alias("t"))
+    opened = lambda k: F.when(k == "sup", "^{").when(k == "sub", "_{").otherwise("")
+    closed = lambda k: F.when(k.isin("sup", "sub"), "}").otherwise("")
+    start = F.struct(F.lit("").alias("out"), F.lit("inline").alias("kind"))
+
+    def step(acc, t):
+        seam = F.when(acc["kind"] == t["kind"], "").otherwise(F.concat(closed(acc["kind"]), opened(t["kind"])))
+        gap = F.when((acc["kind"] == "inline") & (t["kind"] == "inline") & acc["out"].rlike(r"\\[A-Za-z]+$") & t["tex"].rlike(r"^\p{L}"), " ").otherwise("")
+        return F.struct(F.concat(acc["out"], seam, gap, t["tex"]).alias("out"), t["kind"].alias("kind"))
+
+    return g.select(key, F.aggregate("t", start, step, lambda a: F.concat(a["out"], closed(a["kind"]))).alias("formula"))
+
+
+def inked_runs(rows: DataFrame, group: str, pos: str, inked: str, block: Column) -> DataFrame:
+    """(group, first_at, last_at, n): longest stretches of inked positions in order; what is not inked parts them."""
+    return islands(rows, group, [pos], inked, block).where(F.col(inked)).select(group, "first_at", "last_at", "n")
+
+
+def weakest(rows: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, weakest, n): something read in pieces is as sure as its least sure piece; null scores count as 0."""
+    return rows.groupBy(key).agg(F.min(F.coalesce(score, F.lit(0.0))).alias("weakest"), F.count("*").alias("n"))
+
+
+def run_totals(outcomes: DataFrame, key: str) -> DataFrame:
+    """Outcomes (key, outcome, warning) of a run: done, new, updated, reused, missing, failed and with a warning."""
+    kinds = ("done", "new", "updated", "reused", "missing", "failed")
+    return outcomes.groupBy(key).agg(F.count("*").alias("total"), *(F.count_if(F.col("outcome") == k).alias(k) for k in kinds), F.count_if(F.coalesce("warning", F.lit("")) != "").alias("warnings"))
+
+
+def first_items(items, n: int) -> Column:
+    """The first n of a list: a report's shortening, null stays null."""
+    return F.slice(items, 1, n)
+
+
 def latest_state(events: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(state, F.struct(*order)).alias(state), F.max(order[0]).alias(order[0]))
 
@@ -131,3 +168,19 @@ def gate(records: DataFrame) -> DataFrame:
 
     g = records.agg(F.count("*").alias("records"), F.count_if(F.size(missing_fields()) > 0).alias("incomplete"), F.count_if(F.coalesce("flagged", F.lit(False))).alias("flagged"))
     return g.withColumn("passes", (F.col("records") > 0) & (F.col("incomplete") == 0) & (F.col("flagged") == 0))
+
+
+def finalised(records: DataFrame, key: str, images: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row per set (key) that says whether it can be closed: records, incomplete, flagged, missing pictures, whether
+    its signature stood still (before and after: key, signature), and the first reason against it. A set without records
+    does not pass. images (name) are the pictures at hand."""
+    from quillmark.operators.review import missing_fields
+
+    bad = F.size(missing_fields()) > 0
+    g = records.groupBy(key).agg(F.count("*").alias("records"), F.count_if(bad).alias("incomplete"), F.count_if(F.coalesce("flagged", F.lit(False))).alias("flagged"))
+    used = records.select(key, F.explode("imageCrops").alias("c")).select(key, F.regexp_replace("c.url", "^.*/", "").alias("name")).where("name <> ''").distinct()
+    gone = used.join(images.select("name").distinct(), "name", "left_anti").groupBy(key).agg(F.count("*").alias("missing"))
+    j = before.select(key, F.col("signature").alias("s0")).join(g, key, "left").join(gone, key, "left").join(after.select(key, F.col("signature").alias("s1")), key, "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    reason = F.when(n("records") == 0, "no records").when(n("incomplete") > 0, "incomplete").when(n("flagged") > 0, "flagged").when(n("missing") > 0, "missing pictures").when(~F.col("s0").eqNullSafe(F.col("s1")), "changed meanwhile")
+    return j.select(key, *(n(c).alias(c) for c in ("records", "incomplete", "flagged", "missing")), reason.alias("reason"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import copy
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +57,8 @@ def requested(asked: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 
 def shared_words(pairs: DataFrame) -> DataFrame:
-    """(id, common): words two texts share, with repeats (the smaller of both counts)."""
-    count = lambda c, n: pairs.select("id", F.explode(X.prose_words(c)).alias("w")).groupBy("id", "w").agg(F.count("*").alias(n))
-    return count("a", "x").join(count("b", "y"), ["id", "w"]).groupBy("id").agg(F.sum(F.least("x", "y")).alias("common"))
+    """(id, common): words two texts share, with repeats (the smaller of both counts); pairs without any are left out."""
+    return pairs.select("id", X.shared_count(X.prose_words("a"), X.prose_words("b")).alias("common")).where("common > 0")
 
 
 def ordered_union(*arrays):
@@ -111,6 +113,39 @@ def project_deleted(projects: DataFrame, sessions: DataFrame, gone: str) -> tupl
     return projects.where(F.col("projectId") != gone), sessions.withColumn("projectId", F.when(F.col("projectId") != gone, F.col("projectId")))
 
 
+def updated(rows: DataFrame, changes: DataFrame, key: str, label: str, now) -> tuple[DataFrame, DataFrame]:
+    """(rows, refused): fields set where a change (key and fields, null for no change) meets its row, and ``updatedAt`` with
+    them. Refused are changes to what is not there (missing) and to a blank label; of several changes of a key the last
+    by its fields counts."""
+    fields = [c for c in changes.columns if c != key]
+    c = changes.groupBy(key).agg(F.max(F.struct(*fields)).alias("c"))
+    blank = F.coalesce(X.strip(F.col(f"c.{label}")) == "", F.lit(False))
+    here = c.join(rows.select(key).distinct(), key, "left_semi")
+    refused = c.join(rows.select(key).distinct(), key, "left_anti").select(key, F.lit("missing").alias("reason")).unionByName(here.where(blank).select(key, F.lit("blank label").alias("reason")))
+    j = rows.join(here.where(~blank), key, "left")
+    new = {f: F.coalesce(X.strip(F.col(f"c.{f}")) if f == label else F.col(f"c.{f}"), F.col(f)) for f in fields}
+    new["updatedAt"] = F.when(F.col("c").isNotNull(), X._c(now)).otherwise(F.col("updatedAt"))
+    return j.select(*(new.get(n, F.col(n)).alias(n) for n in rows.columns)), refused
+
+
+class TimedTables:
+    """Small tables read once and kept for a while: a read within ``seconds`` of the last gives the kept rows, a write
+    forgets them. Rows are copies, so that what a reader does to them changes nothing."""
+
+    def __init__(self, read, seconds: float = 5.0, clock=time.monotonic) -> None:
+        self.read, self.seconds, self.clock, self.kept = read, seconds, clock, {}
+
+    def get(self, name: str) -> list[dict]:
+        at, rows = self.kept.get(name, (None, None))
+        if at is None or self.clock() - at >= self.seconds:
+            rows = [r.asDict(recursive=True) for r in self.read(name).collect()]
+            self.kept[name] = (self.clock(), rows)
+        return copy.deepcopy(rows)
+
+    def forget(self, name: str | None = None) -> None:
+        self.kept.pop(name, None) if name else self.kept.clear()
+
+
 def top_n(rows: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows in a total order: a report, not a way to save work."""
     return rows.orderBy(*order).limit(n)

@@ -142,12 +142,17 @@ def slot_for(sections_: DataFrame, lines: DataFrame) -> DataFrame:
     return at.join(top, ["doc_id", "exercise"]).select("doc_id", "page", "exercise", "next_number")
 
 
-def markdown(sections_: DataFrame) -> DataFrame:
-    """(doc_id, markdown): every document as one readable text, in order."""
+def markdown_parts(sections_: DataFrame) -> DataFrame:
+    """(doc_id, exercise, question, part): every question as readable text, its exercise's heading before the first.
+    A document of any size is written part by part (sinks.write_parts)."""
     body = lambda c: F.replace(F.regexp_replace(c, X.IMAGE_TOKEN, "![](images/$1)"), F.lit("\n"), F.lit("  \n"))
     q = F.concat(
         F.lit("\n### Question "), F.col("label"), F.lit("  (page "), F.col("page_start").cast("string"), F.lit(")\n\n**Question**\n\n"), body(F.col("question_text")), F.lit("\n\n**Solution**\n\n"), body(F.col("solution_text")), F.lit("\n")
     )
-    first = F.row_number().over(W.partitionBy("doc_id", "exercise").orderBy("question")) == 1
-    part = sections_.select("doc_id", "exercise", "question", F.concat(F.when(first, F.concat(F.lit("\n## "), "title", F.lit("\n"))).otherwise(""), q).alias("part"))
-    return part.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("exercise", "question", "part"))), lambda x: x["part"]), "\n").alias("markdown"))
+    first = F.col("question") == 0
+    return sections_.select("doc_id", "exercise", "question", F.concat(F.when(first, F.concat(F.lit("\n## "), "title", F.lit("\n"))).otherwise(""), q).alias("part"))
+
+
+def markdown(sections_: DataFrame) -> DataFrame:
+    """(doc_id, markdown): every document as one readable text, in order: for documents that fit in a row."""
+    return markdown_parts(sections_).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("exercise", "question", "part"))), lambda x: x["part"]), "\n").alias("markdown"))

@@ -77,6 +77,31 @@ def chapter_titles(lines: DataFrame) -> DataFrame:
     return big.groupBy("doc_id").agg(F.initcap(F.trim(F.regexp_replace(joined, r"\s+\d+$", ""))).alias("title"))
 
 
+#: Numbered headings of sections and of subsections, headings that are no topics.
+SECTION = r"^\s*(\d+\.\d+)\s+([A-Z][A-Za-z0-9 ,’'\-\(\)/&]{3,70})\s*$"
+SUBSECTION = r"^\s*(\d+\.\d+\.\d+)\s+([A-Z][A-Za-z0-9 ,’'\-\(\)/&]{3,70})\s*$"
+NO_TOPICS = ("introduction", "summary", "exercise", "exercises", "activity", "questions", "what you have learnt")
+
+
+def chapter_topics(lines: DataFrame) -> DataFrame:
+    """(doc_id, pos, number, name): topics of a book's chapter from its lines (doc_id, line_no, text): section headings,
+    or subsection headings where it has none; general headings and repeats are left out, the first stays."""
+    take = lambda rx, level: lines.where(F.col("text").rlike(rx)).select("doc_id", "line_no", F.lit(level).alias("level"), F.regexp_extract("text", rx, 1).alias("number"), F.regexp_extract("text", rx, 2).alias("raw"))
+    found = take(SECTION, 1).unionByName(take(SUBSECTION, 2))
+    level = found.groupBy("doc_id").agg(F.min("level").alias("level"))
+    named = found.join(level, ["doc_id", "level"], "left_semi").withColumn("name", F.regexp_replace(F.regexp_replace("raw", r"\s+", " "), r"^[ .]+|[ .]+$", "")).withColumn("k", F.lower("name"))
+    first = named.where(~F.col("k").isin(*NO_TOPICS) & (F.length("name") >= 4)).groupBy("doc_id", "k").agg(F.min_by(F.struct("line_no", "number", "name"), "line_no").alias("r"))
+    # headings of one document, not its lines
+    return first.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("r.line_no")) - 1).alias("pos"), "r.number", "r.name")
+
+
+def class_of(lines: DataFrame, height: float = 792.0) -> DataFrame:
+    """(doc_id, class_name) read from the head of the first three pages (fixed value: 16 % of the height), the first that
+    names one. What questions say of classes further down does not count."""
+    head = lines.where((F.col("page") <= 3) & (F.col("bottom") <= 0.16 * height)).withColumn("c", X.class_name("text")).where("c is not null")
+    return head.groupBy("doc_id").agg(F.min_by("c", F.struct("page", "line_no")).alias("class_name"))
+
+
 def topics_allowed(rows: DataFrame, syllabus: DataFrame) -> DataFrame:
     """(id, topics): a row's own list, else its chosen chapter's, else the guessed chapter's, else none.
     rows: id, own array<string>, chosen string, guessed string."""
