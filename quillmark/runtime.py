@@ -39,9 +39,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the session's checkpoint directory.
-
-    Only where none is set (tests, a single machine) is one made under the warehouse's parent.
+    """The folder every executor can reach: the session's checkpoint directory. On a cluster one must be named; only a
+    local session without one gets a folder of its own.
     """
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
@@ -49,25 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
         return at.get()
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
         conf = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), f"quillmark-{os.getpid()}")
     sc.setCheckpointDir(conf)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM: the same calls whatever store the path lies in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended first
-            pass
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that are no longer read; without arguments all of them. A long session calls this when the
+    result of a query has been taken."""
+    for path in [getattr(t, "_written_at", None) for t in tables] if tables else list(_written):
+        if path is not None and (spark := _written.pop(path, None)) is not None:
+            try:
+                fs, p = file_system(spark, path)
+                fs.delete(p, True)
+            except Exception:  # the session may have ended first
+                pass
 
 
-atexit.register(_clean)
+atexit.register(discard)
 
 
 def written(df: DataFrame, what: str = "t") -> DataFrame:
@@ -76,5 +85,7 @@ def written(df: DataFrame, what: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.runtime import file_system
+
 READING = "struct<latex:string,raw:string,source:string,kind:string,confidence:double,needs_review:boolean,reason:string,katex_error:string,ai_error:string,model:string>"
 SECTION = f"struct<text:string,text_latex:string,equations:array<string>,equations_latex:map<string,{READING}>>"
 BOX = "struct<page:int,bbox:array<double>>"
@@ -37,9 +39,8 @@ def read_json(spark: SparkSession, path: str, schema: str, required: bool = Fals
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
 
 
 def job_name(path) -> Column:
@@ -56,9 +57,13 @@ def read_roots(spark: SparkSession, roots: list[str], schema: str, **kw) -> Data
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:
     """Review states with defaults in place of what older files lack; exam names in normal form."""
+    return with_defaults(read_json(spark, path, REVIEW, required=True, name="review.json"))
+
+
+def with_defaults(r: DataFrame) -> DataFrame:
+    """Review states with empty maps and lists in place of null ones, and the exam's name in normal form."""
     from quillmark.functions import text as X
 
-    r = read_json(spark, path, REVIEW, required=True, name="review.json")
     empty = lambda c, t: F.coalesce(F.col(c), F.create_map().cast(t) if t.startswith("map") else F.array().cast(t))
     kinds = {f.name: f.dataType.simpleString() for f in r.schema.fields}
     for c in ("questions", "ids", "manualImages", "addedQuestions"):
@@ -89,7 +94,13 @@ def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, length, sha256, is_pdf) of files below a folder; a file without the PDF magic is none."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select("path", F.regexp_replace("path", "^.*/", "").alias("name"), "length", F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"))
+    return f.select("path", F.regexp_replace("path", "^.*/", "").alias("name"), "length", F.sha2("content", 256).alias("sha256"), is_pdf("content").alias("is_pdf"))
+
+
+def is_pdf(content) -> Column:
+    """Whether a file's bytes begin with the PDF magic; empty and null files are none."""
+    c = F.col(content) if isinstance(content, str) else content
+    return F.coalesce(F.substring(c, 1, 5) == F.lit(b"%PDF-"), F.lit(False))
 
 
 def pdf_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -127,13 +138,24 @@ def book_parts(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.when(up(-3).rlike(r"(?i)^class\s*\d+$"), up(-3)).alias("className"), up(-2).alias("subject"), X.chapter_of_file("path").alias("chapter"))
 
 
+#: A line of a settings file.
+SETTING = r"^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$"
+
+
+def settings_rows(lines: DataFrame, line: str, *keep: str) -> DataFrame:
+    """(keep..., name, value): settings among lines of text, quotes around a value taken off; other lines are none."""
+    v = F.regexp_extract(line, SETTING, 2)
+    bare = F.when(v.rlike("^(?:\".*\"|'.*')$") & (F.length(v) > 1), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return lines.where(F.col(line).rlike(SETTING)).select(*keep, F.regexp_extract(line, SETTING, 1).alias("name"), bare.alias("value"))
+
+
 def settings(path: str, override: bool = False) -> dict[str, str]:
     """KEY=value lines of a settings file put into the environment; what is set there already wins unless overridden."""
     out: dict[str, str] = {}
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             for line in f:
-                m = re.match(r"^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line)
+                m = re.match(SETTING, line)
                 if m:
                     k, v = m.groups()
                     out[k] = v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v

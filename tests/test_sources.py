@@ -69,7 +69,8 @@ def test_bundle_reports_missing_and_drops_stale(spark, tmp_path):
     (out / "images" / "stale.png").write_bytes(b"s")
     r = spark.sql("select 'q' as id, array(named_struct('url', 'images/a.png'), named_struct('url', 'images/b.png'), named_struct('url', 'x/a.png')) as imageCrops")
     got = sinks.bundle(r, str(src), str(out))
-    assert got == {"questions": 1, "images": 1, "missing": ["b.png"]} and os.listdir(out / "images") == ["a.png"]
+    assert (got["questions"], got["images"]) == (1, 1) and [r.name for r in got["missing"].collect()] == ["b.png"] and os.listdir(out / "images") == ["a.png"]
+    assert sinks.bundle(r.limit(0), str(src), str(out))["images"] == 0 and os.listdir(out / "images") == []
     assert sinks.zip_files(["images/a.png", "a.png", "b.png"], str(src), str(tmp_path / "z.zip")) == 1
 
 
@@ -122,7 +123,9 @@ def test_states_batch_and_stream(spark, tmp_path):
     want = {"a": "done", "b": "running"}
     assert {r.job_id: r.status for r in batch.collect()} == want
     J.keep_status(J.read_jobs(spark, f"{tmp_path}/ev", J.EVENT), f"{tmp_path}/st", f"{tmp_path}/cp2")
-    assert {r.job_id: r.status for r in spark.read.parquet(f"{tmp_path}/st/v00000003").collect()} == want
+    assert {r.job_id: r.status for r in J.status_table(spark, f"{tmp_path}/st").collect()} == want
+    J.keep_status(J.read_jobs(spark, f"{tmp_path}/ev", J.EVENT), f"{tmp_path}/st2", f"{tmp_path}/cp4", compact=3)
+    assert os.path.isdir(f"{tmp_path}/st2-states/upto=2") and {r.job_id: r.status for r in J.status_table(spark, f"{tmp_path}/st2").collect()} == want
     asked = spark.createDataFrame([("a",), ("b",)], "job_id string")
     assert [r.job_id for r in J.refused_deletions(asked, batch).collect()] == ["b"]
 
