@@ -235,3 +235,16 @@ SQL = {
     + """, fo as (select doc_id, page_start as page, number, number::varchar as label, question as pos from sec where number is not null), kn as (select distinct doc_id, page_start as page, label from sec where heading = 'answer')
   select doc_id, page, number, label from (select *, row_number() over (partition by doc_id, page, label order by pos) as r from fo anti join kn using (doc_id, page, label)) where r = 1""",
 }
+
+
+def _drawings_sql(rounds: int = 8) -> str:
+    """Clusters of boxes by least labels, outlines made anew every round."""
+    out = "with d0 as materialized (select row_number() over () as id, doc_id, page, bbox[1] as x0, bbox[2] as y0, bbox[3] as x1, bbox[4] as y1 from image_box where len(bbox) = 4 and not list_contains(list_transform(bbox, lambda v: v is null), true)), l0 as materialized (select id, id as g from d0)"
+    for r in range(rounds):
+        out += f""", o{r} as materialized (select doc_id, page, g, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from d0 join l{r} using (id) group by all),
+  m{r} as materialized (select a.g, min(b.g) as h from o{r} a join o{r} b on a.doc_id = b.doc_id and a.page = b.page and a.x0 <= b.x1 + 9 and b.x0 <= a.x1 + 9 and a.y0 <= b.y1 + 9 and b.y0 <= a.y1 + 9 group by a.g), l{r + 1} as materialized (select id, h as g from l{r} join m{r} using (g))"""
+    return out + f""", c as (select doc_id, page, g, count(*) as n, min(x0) as x0, min(y0) as top, max(x1) as x1, max(y1) as bottom from d0 join l{rounds} using (id) group by all)
+  select doc_id, page, (row_number() over (partition by doc_id, page order by top, x0) - 1)::int as cluster, n::int as n, x0, top, x1, bottom from c"""
+
+
+SQL["drawings"] = _drawings_sql()
