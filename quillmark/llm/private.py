@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.runtime import table, written
+from quillmark.runtime import discard, table, written
 
 TYPES = ("email", "address", "phone", "id_number", "name")
 #: Most titled names the gender of given names is learned from.
@@ -571,17 +571,19 @@ def mapping(found: DataFrame, secret: str, most: int = 12) -> DataFrame:
     open_ = found.groupBy("pii_type", "entity").agg(lean.alias("lean")).withColumn("turn", F.lit(0))
     settled = written(open_.withColumn("surrogate", draw("pii_type", "entity", "turn", "lean")), "p8-map")
     canonical = lambda c: F.when(F.col("pii_type") == "address", F.regexp_replace(F.lower(c), r"[\s,./-]+", "")).otherwise(F.col(c))
-    real = settled.select("pii_type", F.col("entity").alias("said"))
     for _ in range(most):
+        real = settled.select("pii_type", F.col("entity").alias("said"))
         first = settled.groupBy("pii_type", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("keeper")).where("n > 1")
         twice = settled.join(first, ["pii_type", "surrogate"]).where("entity <> keeper").select("pii_type", "entity", "lean", "turn")
         known = settled.withColumn("said", canonical("surrogate")).join(real, ["pii_type", "said"], "left_semi").select("pii_type", "entity", "lean", "turn")
         clash = written(twice.unionByName(known).distinct(), "p8-clash")
         if clash.isEmpty():
+            discard(clash)
             return settled
         again = clash.withColumn("turn", F.col("turn") + 1).withColumn("surrogate", draw("pii_type", "entity", "turn", "lean"))
         rest = settled.join(clash.select("pii_type", "entity"), ["pii_type", "entity"], "left_anti")
-        settled = written(rest.unionByName(again), "p8-map")
+        last, settled = settled, written(rest.unionByName(again), "p8-map")
+        discard(last, clash)
     raise RuntimeError("surrogates keep colliding; lengthen the drawn words")
 
 
