@@ -32,18 +32,35 @@ def without_page_numbers(lines: DataFrame, height: float = 792.0) -> DataFrame:
 BLOCK = 20_000
 
 
-def running(d: DataFrame, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
-    """Running sums and last non-null values over a document's lines in order. Windows run per block of lines; what a
-    block starts from comes from the blocks before it, one row each, so no task holds a whole document."""
+def positions(d: DataFrame) -> DataFrame:
+    """Lines with headings told (is_ch, is_ex, is_q, is_sol; heading, q_label) to where each stands: counts of chapters,
+    exercises, questions and solutions so far, the open exercise's title and label of the open question, and the counts
+    at which they opened.
+
+    One pass per block of lines, in order; what a block starts from comes from the blocks before it, a row each, so no
+    task holds a whole document."""
     own = W.partitionBy("doc_id", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumns({f"__{n}": c for n, c in {**sums, **lasts}.items()})
-    totals = d.groupBy("doc_id", "block").agg(*(F.sum(f"__{n}").alias(f"t_{n}") for n in sums), *(F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col("line_no"))).alias(f"t_{n}") for n in lasts))
-    carry = totals.select("doc_id", "block", *(F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"c_{n}") for n in sums), *(F.last(f"t_{n}", ignorenulls=True).over(before).alias(f"c_{n}") for n in lasts))
-    local = d.withColumns({**{f"l_{n}": F.sum(f"__{n}").over(own) for n in sums}, **{f"l_{n}": F.last(f"__{n}", ignorenulls=True).over(own) for n in lasts}})
+    kinds = ("ch", "ex", "q", "sol")
+    d = d.withColumns({f"l_{k}": F.sum(F.col(f"is_{k}").cast("int")).over(own) for k in kinds})
+    # what is open: (when it opens, its value there)
+    opens = {"title": ("is_ex", F.col("heading_title")), "label": ("is_q", F.col("q_label")), "q_at_ex": ("is_ex", F.col("l_q")), "sol_at_q": ("is_q", F.col("l_sol")), "q_first": ("first_ex", F.col("l_q"))}
+    d = d.withColumn("first_ex", F.col("is_ex") & (F.col("l_ex") == 1))
+    at = {n: F.when(F.col(c), v) for n, (c, v) in opens.items()}
+    local = d.withColumns({f"l_{n}": F.last(v, ignorenulls=True).over(own) for n, v in at.items()})
+    totals = d.groupBy("doc_id", "block").agg(*(F.sum(F.col(f"is_{k}").cast("int")).alias(f"t_{k}") for k in kinds), *(F.max_by(v, F.when(F.col(opens[n][0]), F.col("line_no"))).alias(f"t_{n}") for n, v in at.items()))
+    over = W.partitionBy("doc_id").orderBy("block")
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    carry = totals.withColumns({f"c_{k}": F.coalesce(F.sum(f"t_{k}").over(before), F.lit(0)) for k in kinds})
+    # counts within a block become counts within the document
+    whole = {"title": F.col("t_title"), "label": F.col("t_label"), "q_at_ex": F.col("t_q_at_ex") + F.col("c_q"), "sol_at_q": F.col("t_sol_at_q") + F.col("c_sol"), "q_first": F.when(F.col("c_ex") == 0, F.col("t_q_first") + F.col("c_q"))}
+    carry = carry.select("doc_id", "block", *(f"c_{k}" for k in kinds), *(F.last(v, ignorenulls=True).over(before).alias(f"c_{n}") for n, v in whole.items()))
     j = local.join(carry, ["doc_id", "block"])
-    out = {**{n: F.col(f"l_{n}") + F.col(f"c_{n}") for n in sums}, **{n: F.coalesce(f"l_{n}", f"c_{n}") for n in lasts}}
-    return j.withColumns(out).drop(*(f"{p}_{n}" for p in ("l", "c", "_") for n in out))
+    now = {f"n_{k}": F.col(f"l_{k}") + F.col(f"c_{k}") for k in kinds}
+    shift = {"q_at_ex": F.col("c_q"), "sol_at_q": F.col("c_sol")}
+    now |= {n: F.coalesce(F.col(f"l_{n}") + shift[n] if n in shift else F.col(f"l_{n}"), F.col(f"c_{n}")) for n in ("title", "label", "q_at_ex", "sol_at_q")}
+    now["q_first"] = F.coalesce("c_q_first", F.when(F.col("c_ex") == 0, F.col("l_q_first") + F.col("c_q")))
+    gone = [c for c in j.columns if c[:2] in ("l_", "c_")]
+    return j.withColumns(now).drop(*gone, "first_ex", "heading_title", "q_label")
 
 
 def marked(lines: DataFrame) -> DataFrame:
@@ -57,21 +74,8 @@ def marked(lines: DataFrame) -> DataFrame:
     d = d.withColumns({"is_ch": F.col("core").rlike(CHAPTER), "is_ex": F.col("core").rlike(EXERCISE)})
     d = d.withColumn("is_q", ~F.col("is_ex") & F.col("core").rlike(QUESTION))
     d = d.withColumn("is_sol", ~F.col("is_ex") & ~F.col("is_q") & F.col("core").rlike(SOLUTION))
-    n = lambda c: F.col(c).cast("int")
-    d = running(d, {"n_ch": n("is_ch"), "n_ex": n("is_ex"), "n_q": n("is_q"), "n_sol": n("is_sol")}, {})
     title = F.upper(F.coalesce(F.nullif(F.regexp_extract("core", EXERCISE, 1), F.lit("")), F.regexp_extract("core", EXERCISE, 2)))
-    at = lambda c, v: F.when(F.col(c), v)
-    d = running(
-        d,
-        {},
-        {
-            "title": at("is_ex", title),
-            "q_at_ex": at("is_ex", F.col("n_q")),
-            "q_first": F.when(F.col("is_ex") & (F.col("n_ex") == 1), F.col("n_q")),  # questions before any exercise heading
-            "label": at("is_q", F.regexp_extract("core", QUESTION, 1)),
-            "sol_at_q": at("is_q", F.col("n_sol")),
-        },
-    )
+    d = positions(d.withColumns({"heading_title": F.when(F.col("is_ex"), title), "q_label": F.when(F.col("is_q"), F.regexp_extract("core", QUESTION, 1))}))
     d = d.where(~(F.col("is_ch") & (F.col("n_ch") == 1)))
     # questions before any exercise heading stand in an exercise of their own, which comes first
     orphans = F.when(F.col("n_ex") == 0, 1).otherwise((F.col("q_first") > 0).cast("int"))

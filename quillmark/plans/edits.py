@@ -193,7 +193,7 @@ def acted_log(s, d):
 
 def _migration(s, d):
     t = pages._lines(s, d)
-    old, new = written(structure.sections(t), "old"), written(structure.sections(t.where("not text like 'ADDITIONAL%'")), "new")
+    old, new = written(structure.sections(t), "old"), written(structure.sections(t.where("not text like 'ADDITIONAL%' and not text like 'Q%3%'")), "new")
     keys = old.select("doc_id", F.concat_ws("-", "exercise", "question").alias("key"))
     docs = old.select("doc_id").distinct().withColumn("version", (F.col("doc_id") % 3 + 6).cast("int"))
     edits = keys.unionByName(docs.select("doc_id", F.lit("add-1").alias("key"))).withColumn("edit", F.concat(F.lit("e"), "key"))
@@ -363,7 +363,7 @@ _PLAN = PAGES + ", " + _AREA + """, pl0 as (select *, row_number() over (partiti
 
 def _migration_sql() -> str:
     """Four passes of matching old sections to new ones, and what becomes of edits."""
-    second = pages.SECTIONS.replace("from page_line where text is not null", "from page_line where text is not null and not text like 'ADDITIONAL%'")
+    second = pages.SECTIONS.replace("from page_line where text is not null", "from page_line where text is not null and not text like 'ADDITIONAL%' and not text like 'Q%3%'")
     sig = "doc_id, exercise, question, exercise || '-' || question as key, title, upper(label) as label, coalesce(page_start, -1) as page, substr(trim(regexp_replace(coalesce(question_text, ''), '\\s+', ' ', 'g')), 1, 160) as stem, question_text, solution_text"
     out = f"with o0 as (select {sig}, label as shown from ({pages.SECTIONS} select * from sec)), n0 as (select {sig}, label as shown from ({second} select * from sec))"
     passes = (("label", "page", "stem"), ("label", "page"), ("title", "label", "stem"), ("title", "label"))

@@ -36,7 +36,7 @@ def dollar_delims(s, d):
 
 def paren_delims(s, d):
     """Texts in dollar form turned back."""
-    return _docs(s, d).where("text not like '%$%'").select("doc_id", F.md5(X.to_paren_delims(X.to_dollar_delims("text"))).alias("digest"))
+    return _docs(s, d).select("doc_id", F.md5(X.to_paren_delims(X.to_dollar_delims("text"))).alias("digest"))
 
 
 def control_characters(s, d):
@@ -128,7 +128,8 @@ SQL = {
     "repeated_lines": "with l as (select doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents) select line, count(*)::bigint as n, count(distinct doc_id) as docs from l where line <> '' group by line having count(*) >= 2",
     "maths_spans": r"with m as (select doc_id, list_transform(regexp_extract_all(text, '(?s)\\\(.+?\\\)|\\\[.+?\\\]|\$[^$]+\$', 0), lambda s: case when s[1] = '$' then s[2:-2] else s[3:-3] end) as m from documents) select doc_id, len(m)::int as spans, md5(coalesce(array_to_string(m, chr(10)), '')) as digest from m",
     "dollar_delims": f"select doc_id, md5({_DOLLAR}) as digest from documents",
-    "paren_delims": rf"select doc_id, md5(regexp_replace(regexp_replace({_DOLLAR}, '\$\$(.+?)\$\$', '\\[\1\\]', 'gs'), '\$(.+?)\$', '\\(\1\\)', 'gs')) as digest from documents where not contains(text, '$')",
+    # an escaped dollar is hidden while the others are paired
+    "paren_delims": rf"select doc_id, md5(replace(regexp_replace(regexp_replace(replace({_DOLLAR}, '\$', chr(1)), '\$\$(.+?)\$\$', '\\[\1\\]', 'gs'), '\$(.+?)\$', '\\(\1\\)', 'gs'), chr(1), '\$')) as digest from documents",
     "control_characters": r"select doc_id from documents where regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{fffd}]')",
     "unbalanced_maths": r"select doc_id from documents where len(regexp_extract_all(text, '\\\(')) <> len(regexp_extract_all(text, '\\\)')) or len(regexp_extract_all(text, '\\\[')) <> len(regexp_extract_all(text, '\\\]'))",
     "loose_scripts": r"select doc_id from documents where regexp_matches(replace(replace(regexp_replace(text, '(?s)!\[\]\([^)]+\)|\\\(.*?\\\)|\\\[.*?\\\]', ' ', 'g'), '\_', ''), '\^', ''), '[_^]')",
