@@ -195,7 +195,7 @@ def _migration(s, d):
     t = pages._lines(s, d)
     old, new = written(structure.sections(t), "old"), written(structure.sections(t.where("not text like 'ADDITIONAL%' and not text like 'Q%3%'")), "new")
     keys = old.select("doc_id", F.concat_ws("-", "exercise", "question").alias("key"))
-    docs = old.select("doc_id").distinct().withColumn("version", (F.col("doc_id") % 3 + 6).cast("int"))
+    docs = old.select("doc_id").distinct().withColumn("version", (F.col("doc_id") % 2 + 6).cast("int"))
     edits = keys.unionByName(docs.select("doc_id", F.lit("add-1").alias("key"))).withColumn("edit", F.concat(F.lit("e"), "key"))
     return parts.migrated(docs, old, new, edits, 8)
 
@@ -373,7 +373,7 @@ def _migration_sql() -> str:
   o{i + 1} as (select * from o{i} where (doc_id, key) not in (select (doc_id, old_key) from m{i})), n{i + 1} as (select * from n{i} where (doc_id, key) not in (select (doc_id, new_key) from m{i}))"""
     out += ", mp as (" + " union all ".join(f"select doc_id, old_key, new_key from m{i}" for i in range(4)) + ")"
     return out + """, em as (select doc_id, bool_or(regexp_matches(t, '(?im)^\\s*Additional Exercises\\s*$') or regexp_matches(t, '(?im)^\\s*Question\\s+A\\d+\\s*:')) as embedded from (select doc_id, unnest([question_text, solution_text]) as t from o0) group by 1),
-  dc as (select doc_id, doc_id % 3 + 6 as version, embedded, (doc_id % 3 + 6) < 8 and not ((doc_id % 3 + 6) = 7 and not embedded) as behind from em),
+  dc as (select doc_id, doc_id % 2 + 6 as version, embedded, (doc_id % 2 + 6) < 8 and not ((doc_id % 2 + 6) = 7 and not embedded) as behind from em),
   ed as (select doc_id, key, 'e' || key as edit from (select doc_id, key from o0 union all select distinct doc_id, 'add-1' from o0))"""
 
 
