@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.lookalike import display
-from quillmark.runtime import table
+from quillmark.runtime import table, written
 
 SHINGLE = 5
 #: Part of an item's words a passage must hold, and the part of those that may differ.
@@ -40,7 +40,7 @@ HASHES = 144
 #: Chance that MinHash passes over a pair with the least containment a passage can have.
 MISS = 0.002
 #: Ratio of the size partitions' bounds; items in one broadcast; shingles worked on at once; unit of window sizes.
-STEP, BLOCK, CHUNK, BASE = 1.25, 4000, 20_000, 8
+STEP, BLOCK, CHUNK, BASE = 1.25, 20_000, 20_000, 8
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -317,13 +317,20 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold a passage of an item."""
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    out = spark.createDataFrame([], "doc_id bigint, item_id int")
     block: list[tuple[int, str]] = []
+    out = spark.createDataFrame([], "doc_id bigint, item_id int")
+    rows = items.where("item_id is not null and text is not null").select("item_id", "text")
+    several = rows.limit(BLOCK + 1).count() > BLOCK
 
     def search(own: list[tuple[int, str]]) -> DataFrame:
-        return docs.mapInArrow(_search(spark.sparkContext.broadcast(own), uuid.uuid4().hex), "doc_id bigint, item_id int")
-
-    for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+        shared = spark.sparkContext.broadcast(own)
+        found = docs.mapInArrow(_search(shared, uuid.uuid4().hex), "doc_id bigint, item_id int")
+        if several:  # one block at a time on the driver and the executors
+            found = written(found, "p7")
+            shared.destroy()
+        return found
+
+    for r in rows.toLocalIterator():
         block.append((r.item_id, r.text))
         if len(block) == BLOCK:
             out = out.unionByName(search(block))

@@ -464,14 +464,16 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fields(questions: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, field_name, chapter, text, titles, compounds): every field with those of its title parts and compounds
-    that recur in the corpus."""
+    that recur in the corpus. A field of one line has none, and does not move."""
     q = questions.where("id is not null").select("id", F.col("path.chapter").alias("chapter"), F.expr("stack(2, 'stem', stem, 'explanation', explanation) as (field_name, text)"))
     fields = q.where("text is not null").select("id", "field_name", F.xxhash64("chapter", "text").alias("h"), "chapter", "text")
-    asks = fields.where("text like '%\\n%'").mapInArrow(_asks, "id string, field_name string, h bigint, kind int, word string")
+    lined = F.contains("text", F.lit("\n"))
+    asks = fields.where(lined).mapInArrow(_asks, "id string, field_name string, h bigint, kind int, word string")
     recur = counts.where(f"kind in (3, 4) and n >= {RECURS}").select("kind", "word")
     of = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("word")))
     got = asks.join(recur, ["kind", "word"]).groupBy("id", "field_name", "h").agg(of(3).alias("titles"), of(4).alias("compounds"))
-    return fields.join(got, ["id", "field_name", "h"], "left").drop("h")
+    none = F.lit(None).cast("array<string>")
+    return fields.where(lined).join(got, ["id", "field_name", "h"], "left").unionByName(fields.where(~lined).select("*", none.alias("titles"), none.alias("compounds"))).drop("h")
 
 
 def _first(shared, size: int):

@@ -315,3 +315,14 @@ def test_items_of_any_length_against_brute_force(words):
     got = set(K.found_in([K.hashes(d, known) for d in docs], index))
     # long items go by MinHash, which passes over a pair with the least containment once in 500 times
     assert want and got <= want and len(want - got) <= (len(want) // 100 if words[1] > 45 else 0)
+
+
+def test_item_blocks_change_nothing(spark, monkeypatch):
+    item = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate((60, 12, 4, 80))]
+    docs = spark.createDataFrame([(0, " ".join(item[0].split()[:40])), (1, item[1] + " more"), (2, "so " + item[2]), (3, item[3] + " " + item[0]), (4, None), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(item)] + [(9, None)], "item_id int, text string")
+    whole = {tuple(r) for r in K.leaks(docs, items).collect()}
+    assert whole == {(0, 0), (1, 1), (2, 2), (3, 0), (3, 3)}
+    monkeypatch.setattr(K, "BLOCK", 1)
+    assert {tuple(r) for r in K.leaks(docs, items).collect()} == whole
+    assert K.leaks(docs, items.limit(0)).count() == 0 and K.leaks(docs.limit(0), items).count() == 0
