@@ -134,15 +134,19 @@ _DOES = r"(?:says|said|scored|checked|signed|wrote|asked|replied|explained|solve
 NAME_ACTS = re.compile(rf"(?:(?<=[.!?।\n)>\"”:0-9] )|(?<=\n)|^|(?<=\w )){_TITLE}(?P<n>{_NAME}|{_NAME_UP}|(?:(?<=\n)|(?<=[.!?।] )|^){_NAME_LOW})(?:,\s(?=signed|second reader|who)|\s)(?={_DOES}|signed|second reader)")
 #: Words that belong to schools, firms, places and roles, or begin sentences; no part of a person's name.
 NOT_NAMES = frozenset(
-    "the a an and or of in at on for by to with as is was are be this that these those it its he she they we you i my your our their his her who what which when where why how if then please thank thanks regards dear sincerely yours call ring phone reach mail write send reply contact student teacher asked answered posted submitted corrected sent from school college university academy institute press edition reading room team warden head examiner chief key wing hall old new office desk board books house society trust club company firm ltd inc bank department council committee centre center library laboratory lab road street lane avenue close crescent row gali marg cross nagar colony each every after before during two take let show find hence note since here both given monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december spring summer autumn winter monsoon harvest question answer solution exercise page figure table chapter section part sheet paper code exam test class batch green silver hollow valley ridge compass granite lantern principal director manager secretary controller superintendent invigilator whatsapp fax mobile tel mob ph addr address email e-mail id roll enrolment passport card tax candidate identity login my there all any some no not one three four five hi hello sir madam".split()
+    "the a an and or of in at on for by to with as is was are be this that these those it its he she they we you i my your our their his her who what which when where why how if then please thank thanks regards dear sincerely yours call ring phone reach mail write send reply contact student teacher asked answered posted submitted corrected sent from school college university academy institute press edition reading room team warden head examiner chief key wing hall old new office desk board books house society trust club company firm ltd inc bank department council committee centre center library laboratory lab road street lane avenue close crescent row gali marg cross nagar colony each every after before during two take let show find hence note since here both given monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december spring summer autumn winter monsoon harvest question answer solution exercise page figure table chapter section part sheet paper code exam test class batch  principal director manager secretary controller superintendent invigilator whatsapp fax mobile tel mob ph addr address email e-mail id roll enrolment passport card tax candidate identity login my there all any some no not one three four five hi hello sir madam".split()
 )
 _PARTS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)?")
 
 
-def _person(name: str) -> bool:
-    words = [w for w in _PARTS.findall(name)]
-    full = [w for w in words if len(w) > 1]
-    return bool(full) and not any(w.lower() in NOT_NAMES for w in full)
+#: What makes the words before it the name of a school, firm or body.
+_BODY = re.compile(r"[ \t]+(?:schools?|college|university|academy|institute|press|house|society|trust|club|company|ltd|inc|bank|books|publishers|library|hall|team|board|centre|center|committee|department|council|road|street|lane)\b", re.I)
+
+
+def _person(text: str, a: int, b: int) -> bool:
+    """Whether a find can be a person's name: no word of another kind in it, and no body named after it."""
+    full = [w for w in _PARTS.findall(text[a:b]) if len(w) > 1]
+    return bool(full) and not any(w.lower() in NOT_NAMES for w in full) and not _BODY.match(text, b)
 
 
 # ---------------------------------------------------------------- where to look
@@ -302,10 +306,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         taken.claim(a, b, "phone")
     for n, rx in enumerate(NAME_CUES):
         for m in each(f"cue{n}", rx):
-            if _person(m["n"]):
+            if _person(text, *m.span("n")):
                 taken.claim(*m.span("n"), "name")
     for m in each("acts", NAME_ACTS):
-        if _person(m["n"]):
+        if _person(text, *m.span("n")):
             taken.claim(*m.span("n"), "name")
     for m in each("deva", *NAMES_DEVA):
         taken.claim(*m.span("n"), "name")
