@@ -56,13 +56,15 @@ BITS = 1 << 24
 _ODD = frozenset(c for c in CONFUSIONS if len(c) == 1 and not c.isalpha())
 
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?:[.,:/]\d+)*(?![^\W_])")
-_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|(?<!\S)(\$\$?)(?=[^\s$])[^$\n]*(?<=\S)\1(?![^\W_]|\$)", re.S)
+_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]", re.S)
+_DOLLARS = re.compile(r"(?<!\S)(\$\$?)(?=[^\s$])[^$\n]*(?<=\S)\1(?![^\W_]|\$)")
 _EDGE = ".,;:?()[]\"'“”‘’।"
 
 
 def _lm(text: str) -> list[str]:
     """The language model's words of a text: lower case, numbers and formulae as classes."""
-    t = _FORMULA.sub(" \x01 ", text) if "\\" in text or "$" in text else text
+    t = _FORMULA.sub(" \x01 ", text) if "\\" in text else text
+    t = _DOLLARS.sub(" \x01 ", t) if "$" in t else t
     return _NUMBER.sub("9", t.lower()).split()
 
 
