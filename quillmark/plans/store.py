@@ -108,14 +108,14 @@ def pdf_magic(s, d):
 
 def json_records(s, d):
     """Records written as files of one folder per document and read again; a broken file among them is left out."""
-    q = table(s, d, "question").where("id is not null and documentId is not null").select("id", "documentId", "questionType", "level", F.col("options"), "createdAt").dropDuplicates(["id"])
+    q = table(s, d, "question").where("id is not null and documentId is not null").select("id", "documentId", "questionType", "options", "createdAt").dropDuplicates(["id"])
     at = _folder(s, "records")
     sinks.write_records(q.repartition("documentId"), at)
     s.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(f"{at}/documentId=none")
-    schema = "id string, questionType string, level string, options array<struct<label:string,body:string,isCorrect:boolean>>, createdAt string, _corrupt string"
+    schema = "id string, questionType string, options array<struct<label:string,body:string,isCorrect:boolean>>, createdAt string, _corrupt string"
     r = s.read.option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").schema(schema).json(at, mode="PERMISSIVE")
-    r = r.select("id", "questionType", "level", "options", "createdAt", "_corrupt", F.regexp_extract(F.input_file_name(), r"documentId=([^/]+)/", 1).alias("documentId"))
-    return r.where("id is not null").select("id", "documentId", "questionType", "level", F.size("options").alias("options"), "createdAt")
+    r = r.select("id", "questionType", "options", "createdAt", "_corrupt", F.regexp_extract(F.input_file_name(), r"documentId=([^/]+)/", 1).alias("documentId"))
+    return r.where("id is not null").select("id", "documentId", "questionType", F.size("options").alias("options"), "createdAt")
 
 
 def review_defaults(s, d):
@@ -535,7 +535,7 @@ SQL = {
     "book_folders": """with t as (select distinct "className" as c, subject, chapter from syllabus), f as (select *, case when length(chapter) % 5 = 0 then 'Others' else c end as folder from t) select 'books/' || folder || '/' || subject || '/Chapter 07 - ' || chapter || '.pdf' as path, case when regexp_matches(folder, '^class\\s*\\d+$', 'i') then folder end as "className", subject, chapter from f""",
     "settings_lines": """select n_nationkey, case n_nationkey % 5 when 0 then 'KEY_' || n_nationkey when 1 then 'K' || n_nationkey else 'Q_' || n_nationkey end as name, case n_nationkey % 5 when 3 then n_name || ' x' else n_name end as value from nation where n_nationkey % 5 in (0, 1, 3)""",
     "pdf_magic": "select doc_id, kind = 'exam_report' or (kind <> 'review_log' and text like '%PDF-%' and substr(text, 1, 5) = '%PDF-') as is_pdf from documents",
-    "json_records": """select id, any_value("documentId") as "documentId", any_value("questionType") as "questionType", any_value(level) as level, max(len(options))::int as options, any_value("createdAt") as "createdAt" from question where id is not null and "documentId" is not null group by id""",
+    "json_records": """select id, any_value("documentId") as "documentId", any_value("questionType") as "questionType", max(len(options))::int as options, any_value("createdAt") as "createdAt" from question where id is not null and "documentId" is not null group by id""",
     "review_defaults": f"""with i as (select doc_no, min(exam) as exam from ingest_document group by 1) select doc_no, case when doc_no % 3 = 0 then (select case lower(trim(e)) when 'board' then 'BOARDS' when 'boards' then 'BOARDS' when 'jee' then 'JEE' when 'neet' then 'NEET' else nullif(trim(e), '') end from (select ' ' || lower(exam) as e)) end as exam, case when doc_no % 3 = 1 then 1 else 0 end::int as questions, 0::int as ids, 0::int as added from i""",
     "versioned_table": "select c_custkey, c_mktsegment from customer where c_mktsegment <> 'BUILDING'",
     "written_parts": pages.SQL["markdown"].replace("select doc_id, string_agg(part, chr(10) order by exercise, question) as markdown from body group by doc_id", "select doc_id, sum(len(list_filter(string_split(part, chr(10)), lambda x: x <> '')))::bigint as lines from body group by doc_id"),
