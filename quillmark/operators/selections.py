@@ -145,6 +145,26 @@ def added_questions(drawn: DataFrame, sections: DataFrame, lines: DataFrame, wid
     )
 
 
+def reread(parts: DataFrame, readings: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, key, part, text, warned): both parts of questions read anew. parts (doc_id, key, part, text, equations,
+    override), readings as parts has them, answers (doc_id, key, question, solution, faults). The question's figures are
+    put back where they stood, those of its own part in the question and the others in the solution; a figure taken out
+    by an earlier edit stays out. Questions without an answer keep what they have (no row)."""
+    none = F.array().cast("array<string>")
+    neutral = F.regexp_replace(F.coalesce("text", F.lit("")), X.IMAGE_TOKEN, "![](img:$1)")
+    p = parts.withColumn("neutral", neutral).withColumn("effective", F.coalesce("override", "neutral"))
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    q = p.groupBy("doc_id", "key").agg(F.coalesce(of("question", "equations"), none).alias("qe"), F.coalesce(of("solution", "equations"), none).alias("se"), F.concat_ws("\n", of("question", "effective"), of("solution", "effective")).alias("now"), F.bool_or(F.col("override").isNotNull()).alias("edited"))
+    figures = readings.where("source = 'figure'").groupBy("doc_id", "key").agg(F.collect_set("name").alias("figures"))
+    q = q.join(answers, ["doc_id", "key"]).join(figures, ["doc_id", "key"], "left")
+    stays = lambda n: F.array_contains(F.coalesce("figures", none), n) & (~F.col("edited") | F.contains(F.col("now"), reference(n)))
+    q = q.withColumn("qf", F.filter(F.array_distinct("qe"), stays))
+    q = q.withColumn("sf", F.array_except(F.filter(F.array_distinct("se"), stays), "qf"))
+    j = p.select("doc_id", "key", "part", "neutral").join(q, ["doc_id", "key"]).withColumn("said", F.when(F.col("part") == "question", F.col("question")).otherwise(F.col("solution"))).withColumn("own", F.when(F.col("part") == "question", F.col("qf")).otherwise(F.col("sf")))
+    placed = review.place_figures(j.select("doc_id", "key", "part", "said", "neutral", "own", "faults"), "said", "neutral", "own")
+    return placed.select("doc_id", "key", "part", X.to_paren_delims("placed").alias("text"), (F.coalesce(F.size("faults"), F.lit(0)) > 0).alias("warned"))
+
+
 def transcribed(rows: DataFrame, ask: Callable[[str, list[str] | None], dict], faults: Callable[[str], list[str]]) -> DataFrame:
     """(id, text, faults, error, calls) of rows (id, payload) read by a model. ask(payload, None) gives text and whether
     it was cut; a cut answer is an error. An answer with faults or control characters is asked for once more with the

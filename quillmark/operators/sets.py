@@ -128,6 +128,16 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, label: str, now) -> t
     return j.select(*(new.get(n, F.col(n)).alias(n) for n in rows.columns)), refused
 
 
+def project_rows(projects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Projects (projectId, label, updatedAt) and sessions (sessionId, label, projectId, status, driveFileId, updatedAt) as
+    one list, projects first, newest first in each: (kind, id, label, projectId, status, driveFileId). A session without
+    a label or status has the usual one. Only these columns are read."""
+    none = F.lit(None).cast("string")
+    p = projects.select(F.lit("project").alias("kind"), F.col("projectId").alias("id"), "label", none.alias("projectId"), none.alias("status"), none.alias("driveFileId"), "updatedAt")
+    s = sessions.select(F.lit("session").alias("kind"), F.col("sessionId").alias("id"), F.coalesce("label", F.lit("Untitled OCR session")).alias("label"), "projectId", F.coalesce("status", F.lit("open")).alias("status"), "driveFileId", "updatedAt")
+    return p.unionByName(s).orderBy("kind", F.desc("updatedAt"), "id").drop("updatedAt")
+
+
 class TimedTables:
     """Small tables read once and kept for a while: a read within ``seconds`` of the last gives the kept rows, a write
     forgets them. Rows are copies, so that what a reader does to them changes nothing."""

@@ -303,6 +303,15 @@ def placed_figures(s, d):
     return review.place_figures(p, "ai", "original", "figures").select("doc_id", "key", "placed")
 
 
+def reread_parts(s, d):
+    """Questions of the splitter read anew in capitals, every third with a fault; every second was edited before."""
+    p = parts.parts_of(_sections(s, d))
+    edited = F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int") % 2 == 0
+    p = p.withColumn("override", F.when(edited & (F.col("part") == "question"), F.lit("edited")))
+    a = p.groupBy("doc_id", "key").agg(F.upper(F.max(F.when(F.col("part") == "question", F.regexp_replace("text", X.IMAGE_TOKEN, "")))).alias("question"), F.lit("read $x$").alias("solution"), F.max(F.when(F.length("text") % 3 == 0, F.array(F.lit("fault")))).alias("faults"))
+    return selections.reread(p, _readings(p), a).select("doc_id", "key", "part", "text", "warned")
+
+
 def repair_faults(s, d):
     """Why a page's rewriting cannot replace it."""
     p = _pages(s, d)
@@ -312,7 +321,7 @@ def repair_faults(s, d):
     return p.withColumn("original", original).withColumn("rewritten", new).select("doc_id", "key", review.repair_fault().alias("fault"))
 
 
-QUERIES = {f.__name__: f for f in (question_parts, image_holders, remaining_images, flagged_parts, filled_texts, embedded_additional, scanned_documents, pages_seen, figure_anchors, deduplicated_parts, deduplicated_readings, alias_map, rewritten_overrides, removed_images, removed_log, remaining_readings, deleted_tokens, reclassified_readings, carried_readings, reviewed_results, validated_readings, acted_parts, acted_readings, acted_overrides, acted_log, migrated_documents, migrated_questions, migrated_edits, orphaned_edits, manual_crops, cropped_texts, manual_names, planned_areas, selected_figures, extracted_parts, pictures_read, added_questions, placed_figures, repair_faults)}
+QUERIES = {f.__name__: f for f in (question_parts, image_holders, remaining_images, flagged_parts, filled_texts, embedded_additional, scanned_documents, pages_seen, figure_anchors, deduplicated_parts, deduplicated_readings, alias_map, rewritten_overrides, removed_images, removed_log, remaining_readings, deleted_tokens, reclassified_readings, carried_readings, reviewed_results, validated_readings, acted_parts, acted_readings, acted_overrides, acted_log, migrated_documents, migrated_questions, migrated_edits, orphaned_edits, manual_crops, cropped_texts, manual_names, planned_areas, selected_figures, extracted_parts, pictures_read, added_questions, placed_figures, reread_parts, repair_faults)}
 
 _TOK = r"\[\[eq:([^\]]+)\]\]"
 _NUM = "regexp_extract({}, 'eq(\\d+)', 1)::int + doc_id"

@@ -241,6 +241,14 @@ def sessions_released(s, d):
     return _projects(s, d)[1]
 
 
+def project_list(s, d):
+    i = table(s, d, "ingest_document").where("sessionId is not null")
+    se = i.groupBy("sessionId").agg(F.min("fileName").alias("label"), F.min("subject").alias("projectId"), F.min("status").alias("status"), F.min("driveFileId").alias("driveFileId"), F.max("updatedAt").alias("updatedAt"))
+    se = se.withColumn("label", F.when(F.length("label") % 2 == 0, F.col("label"))).withColumn("status", F.when(F.col("status") != "queued", F.col("status")))
+    p = i.where("subject is not null").groupBy(F.col("subject").alias("projectId")).agg(F.max("updatedAt").alias("updatedAt")).withColumn("label", F.upper("projectId"))
+    return sets.project_rows(p, se)
+
+
 def _renamed(s, d):
     i = table(s, d, "ingest_document").where("sessionId is not null").groupBy("sessionId").agg(F.min("subject").alias("label"), F.min("status").alias("status"), F.lit("2024-01-01").alias("updatedAt"))
     n = F.regexp_extract("sessionId", r"(\d+)$", 1).cast("int")
@@ -506,7 +514,7 @@ def ink_regions(s, d):
     return b.mapInPandas(run, "id string, regions string")
 
 
-QUERIES = {f.__name__: f for f in (page_tokens, ocr_words, synthetic_lines, fallback_lines, drawing_objects, labelled_drawings, class_of_documents, chapter_titles, chapter_topics, syllabus_rows, book_folders, settings_lines, pdf_magic, json_records, review_defaults, versioned_table, written_parts, bundle_plan, archive_names, put_outcomes, ensured_sessions, finalised_documents, job_rows, jobs_not_imported, resumable_jobs, refused_deletions, kept_rows, projects_left, sessions_released, updated_sessions, refused_updates, queue_results, job_states, unrepeated_uploads, unskipped_records, rereadable, known_overrides, saved_settings, changed_texts, run_totals, source_counts, weakest_readings, script_formulas, ink_columns, first_topics, ordered_pictures, converted_records, merged_settings, numbers, masked_values, public_urls, transcriptions, read_crops, tag_accuracy, symbols_read, figure_crops, ink_regions)}
+QUERIES = {f.__name__: f for f in (page_tokens, ocr_words, synthetic_lines, fallback_lines, drawing_objects, labelled_drawings, class_of_documents, chapter_titles, chapter_topics, syllabus_rows, book_folders, settings_lines, pdf_magic, json_records, review_defaults, versioned_table, written_parts, bundle_plan, archive_names, put_outcomes, ensured_sessions, finalised_documents, job_rows, jobs_not_imported, resumable_jobs, refused_deletions, kept_rows, project_list, projects_left, sessions_released, updated_sessions, refused_updates, queue_results, job_states, unrepeated_uploads, unskipped_records, rereadable, known_overrides, saved_settings, changed_texts, run_totals, source_counts, weakest_readings, script_formulas, ink_columns, first_topics, ordered_pictures, converted_records, merged_settings, numbers, masked_values, public_urls, transcriptions, read_crops, tag_accuracy, symbols_read, figure_crops, ink_regions)}
 
 _L = "p as (select * from (select *, row_number() over (partition by doc_id, line_no order by page) as rn from page_line where text is not null) where rn = 1)"
 _I = "il as (select * from (select *, row_number() over (partition by \"documentId\" order by \"updatedAt\" desc, \"fileName\" desc, status desc) as rn from ingest_document) where rn = 1)"
@@ -552,6 +560,9 @@ SQL = {
     "refused_deletions": f"""with {_I} select "documentId" as job_id from il where doc_no % 3 = 0 or status in ('queued', 'running')""",
     "kept_rows": f"""with {bank._LATEST}, {_I} select id, lq."documentId" from lq where "documentId" is null or "documentId" not in (select "documentId" from il where status = 'queued')""",
     "projects_left": """with i as (select "sessionId", min(subject) as p from ingest_document where "sessionId" is not null group by 1) select distinct p as "projectId" from i where p is not null and p <> 'Physics'""",
+    "project_list": """with s as (select "sessionId", min("fileName") as label, min(subject) as p, min(status) as status, min("driveFileId") as f from ingest_document where "sessionId" is not null group by 1)
+  select 'session' as kind, "sessionId" as id, case when length(label) % 2 = 0 then label else 'Untitled OCR session' end as label, p as "projectId", case when status is null or status = 'queued' then 'open' else status end as status, f as "driveFileId" from s
+  union all select distinct 'project', subject, upper(subject), null, null, null from ingest_document where "sessionId" is not null and subject is not null""",
     "sessions_released": """with i as (select "sessionId", min(subject) as p from ingest_document where "sessionId" is not null group by 1) select "sessionId", case when p <> 'Physics' then p end as "projectId" from i""",
     "updated_sessions": r"""with i as (select "sessionId", min(subject) as label, min(status) as status, regexp_extract("sessionId", '(\d+)$', 1)::int as n from ingest_document where "sessionId" is not null group by 1) select "sessionId", case when n % 3 = 0 and n % 9 <> 0 and n % 2 = 1 then 'renamed ' || "sessionId" else label end as label, case when n % 3 = 0 and n % 9 <> 0 and n % 6 <> 0 then 'done' else status end as status, case when n % 3 = 0 and n % 9 <> 0 and n % 6 <> 0 then '2024-06-01' else '2024-01-01' end as "updatedAt" from i""",
     "refused_updates": r"""with i as (select distinct "sessionId", regexp_extract("sessionId", '(\d+)$', 1)::int as n from ingest_document where "sessionId" is not null) select case when n % 9 = 0 then "sessionId" || 'x' else "sessionId" end as "sessionId", case when n % 9 = 0 then 'missing' else 'blank label' end as reason from i where n % 9 = 0 or (n % 6 = 0)""",

@@ -228,3 +228,15 @@ def test_figures_are_placed_by_batches(spark):
     d = spark.createDataFrame([(1, "x [[FIGURE]] y\n\n z", "", []), (2, "First line\nSecond", "First line\n![](img:a.png)\nmore", ["a.png"]), (3, None, None, None), (4, None, None, ["b.png"])], "id int, ai string, original string, figures array<string>")
     assert {r.id: r.placed for r in review.place_figures(d, "ai", "original", "figures").collect()} == {1: "x y\n z", 2: "First line\n![](img:a.png)\nSecond", 3: "", 4: "![](img:b.png)"}
     assert lines.fold_page(pd.DataFrame(columns=["kind", "value", "x0", "x1", "top", "bottom"])).empty
+
+
+def test_questions_are_read_anew_with_their_figures(spark):
+    rows = [(1, "a", "question", "q [[eq:f.png]] [[eq:m.png]]", ["f.png", "m.png"], None), (1, "a", "solution", "s old [[eq:g.png]]\n[[eq:f.png]] tail", ["g.png", "f.png"], None), (1, "b", "question", "q [[eq:f.png]]", ["f.png"], "edited without it"), (1, "b", "solution", None, None, None), (1, "c", "question", "x", [], None)]
+    p = spark.createDataFrame(rows, "doc_id int, key string, part string, text string, equations array<string>, override string")
+    r = spark.createDataFrame([(1, "a", "question", "f.png", None, "figure", False), (1, "a", "question", "m.png", "x", "model", False), (1, "a", "solution", "g.png", None, "figure", False), (1, "b", "question", "f.png", None, "figure", False)], READ)
+    a = spark.createDataFrame([(1, "a", "q new $x$", "s new", ["bad"]), (1, "b", "other", None, None)], "doc_id int, key string, question string, solution string, faults array<string>")
+    got = {(x.key, x.part): (x.text, x.warned) for x in selections.reread(p, r, a).collect()}
+    assert got == {("a", "question"): ("q new \\(x\\)\n![](img:f.png)", True), ("a", "solution"): ("s new\n![](img:g.png)", True), ("b", "question"): ("other", False), ("b", "solution"): ("", False)}
+    pr = spark.createDataFrame([("p", "P", 2), ("o", "O", 3)], "projectId string, label string, updatedAt int")
+    se = spark.createDataFrame([("s", None, "p", None, None, 1), ("t", "T", None, "done", "d", 9)], "sessionId string, label string, projectId string, status string, driveFileId string, updatedAt int")
+    assert [(x.kind, x.id, x.label, x.status) for x in sets.project_rows(pr, se).collect()] == [("project", "o", "O", None), ("project", "p", "P", None), ("session", "t", "T", "done"), ("session", "s", "Untitled OCR session", "open")]
