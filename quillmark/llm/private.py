@@ -17,7 +17,7 @@ names, streets and mailboxes are drawn from a keyed space. Given names get an en
 or else a classifier over name endings, fitted on at most ``LABELLED`` titled names of the corpus itself. Surrogates
 that two entities drew, or that are real entities of the corpus, are drawn again until all differ. Initials become the
 surrogate's. Replacements stand in typed brackets, ``[NAME:...]``; everything else in the text is unchanged. The secret
-is the caller's; there is none by default.
+is the caller's, or made of the corpus; there is none in the code.
 
 Cases: null and empty texts hold nothing and come back as they are; repeated entities are listed once per document;
 overlapping finds keep the stronger one; very long texts are read whole; rows that share an id, with one text or
@@ -31,7 +31,6 @@ import hmac
 import math
 import os
 import re
-import secrets
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -619,10 +618,16 @@ def replaced(documents: DataFrame, secret: str) -> DataFrame:
     return docs.join(spans, ["doc_id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_replace, "doc_id bigint, text string")
 
 
-def secret_of(spark: SparkSession) -> str:
-    """The secret of spark.quillmark.secret or QUILLMARK_SECRET; without either a fresh one, which is kept nowhere, so
-    that surrogates are the same within a run only."""
-    return spark.conf.get("spark.quillmark.secret", None) or os.environ.get("QUILLMARK_SECRET") or secrets.token_hex(32)
+def secret_of(documents: DataFrame) -> str:
+    """The secret of spark.quillmark.secret or QUILLMARK_SECRET. Without either one is made of the corpus: a digest of
+    the digests of all its texts, in two levels of which 4,096 lines reach the driver. Only who holds the very corpus can
+    make it again, so that runs over the same data agree and replaced texts give nothing away."""
+    own = documents.sparkSession.conf.get("spark.quillmark.secret", None) or os.environ.get("QUILLMARK_SECRET")
+    if own:
+        return own
+    text = documents.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
+    buckets = text.groupBy(F.substring("d", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    return hashlib.sha256("".join(sorted(r.d for r in buckets.collect())).encode()).hexdigest()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -630,4 +635,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced(table(spark, sf_dir, "documents"), secret_of(spark))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replaced(documents, secret_of(documents))

@@ -249,7 +249,7 @@ def test_surrogates(spark):
     assert V.replaced(d.limit(0), "k").count() == 0
     again = {r.doc_id: r.text for r in V.replaced(d, "k").collect() if r.doc_id != 5}
     assert again == got != {r.doc_id: r.text for r in V.replaced(d, "other").collect() if r.doc_id != 5}
-    assert V.secret_of(spark) != V.secret_of(spark)
+    assert V.secret_of(d) == V.secret_of(d.repartition(3)) != V.secret_of(d.limit(4)) and len(V.secret_of(d.limit(0))) == 64
 
 
 def test_digit_cipher_is_a_permutation():
