@@ -626,7 +626,7 @@ def secret_of(documents: DataFrame) -> str:
     if own:
         return own
     d = documents.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
-    part = lambda i: F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(18,0)")).cast("string")
+    part = lambda i: F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(19,0)")).cast("string")
     total = d.agg(F.count("*").cast("string").alias("n"), *(part(i).alias(f"s{i}") for i in range(4))).first()
     return hashlib.sha256("|".join(map(str, total)).encode()).hexdigest()
 
