@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,16 +9,12 @@ from quillmark.functions import text as X
 from quillmark.operators import clusters, images, lines, review, selections, sets, syllabus
 from quillmark.operators import rollups as R
 from quillmark.plans import bank, edits, pages
-from quillmark.runtime import shared_dir, table
+from quillmark.runtime import scratch, table
 from quillmark.sources import documents as D
 from quillmark.sources import sinks
 from quillmark.streaming import jobs as J
 
 
-def _folder(s, what):
-    return f"{shared_dir(s)}/{what}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- sources
 def page_tokens(s, d):
     b = table(s, d, "image_box").withColumn("bbox", F.when(edits._k() % 12 == 0, F.array(F.get("bbox", F.lit(0)), F.get("bbox", F.lit(1)), F.get("bbox", F.lit(0)) + 3, F.get("bbox", F.lit(3)))).otherwise(F.col("bbox")))
@@ -109,7 +103,7 @@ def pdf_magic(s, d):
 def json_records(s, d):
     """Records written as files of one folder per document and read again; a broken file among them is left out."""
     q = table(s, d, "question").where("id is not null and documentId is not null").select("id", "documentId", "questionType", "options", "createdAt").dropDuplicates(["id"])
-    at = _folder(s, "records")
+    at = scratch(s, "records")
     sinks.write_records(q.repartition("documentId"), at)
     s.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(f"{at}/documentId=none")
     schema = "id string, questionType string, options array<struct<label:string,body:string,isCorrect:boolean>>, createdAt string, _corrupt string"
@@ -130,7 +124,7 @@ def review_defaults(s, d):
 def versioned_table(s, d):
     """A second version of a table beside the first; readers see the one the pointer names."""
     c = table(s, d, "customer").select("c_custkey", "c_mktsegment")
-    at = _folder(s, "versions")
+    at = scratch(s, "versions")
     sinks.write_version(c, at, 1)
     sinks.write_version(c.where("c_mktsegment <> 'BUILDING'"), at, 2)
     return sinks.read_version(s, at)
@@ -140,7 +134,7 @@ def written_parts(s, d):
     """Documents written part by part and read again: as many lines as their parts have."""
     from quillmark.operators import structure
 
-    at = _folder(s, "text")
+    at = scratch(s, "text")
     sinks.write_parts(structure.markdown_parts(edits._sections(s, d)), at, "doc_id", ["exercise", "question"])
     r = s.read.text(at)
     return r.select(F.col("doc_id").cast("int").alias("doc_id"), "value").where("value <> ''").groupBy("doc_id").agg(F.count("*").alias("lines"))
@@ -267,7 +261,7 @@ def refused_updates(s, d):
 def queue_results(s, d):
     """Jobs dropped as files and run through the queue, by kind."""
     e = table(s, d, "events").select(F.col("event_id").cast("string").alias("job_id"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("payload"), F.col("ts").cast("timestamp").alias("queued_at"))
-    at = _folder(s, "queue")
+    at = scratch(s, "queue")
     e.coalesce(3).write.json(f"{at}/in")
 
     def broken(b):
@@ -281,7 +275,7 @@ def queue_results(s, d):
 def job_states(s, d):
     """The last state of every user's events, kept batch by batch from a stream."""
     e = table(s, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status"), F.lit("s").alias("stage"), F.col("event_id").cast("int").alias("done"), F.lit(1).alias("total"), F.col("ts").cast("timestamp").alias("at"))
-    at = _folder(s, "states")
+    at = scratch(s, "states")
     e.repartition(4).write.json(f"{at}/in")
     J.keep_status(J.read_jobs(s, f"{at}/in", J.EVENT), f"{at}/out", f"{at}/cp", compact=3)
     return J.status_table(s, f"{at}/out").select("job_id", "status", "done")
@@ -290,7 +284,7 @@ def job_states(s, d):
 def unrepeated_uploads(s, d):
     """Documents as a stream of uploads, each content once."""
     t = table(s, d, "documents").select(F.md5("text").alias("sha"), F.lit("2024-01-01").cast("timestamp").alias("at"))
-    at = _folder(s, "uploads")
+    at = scratch(s, "uploads")
     t.write.parquet(f"{at}/in")
     u = J.without_repeats(s.readStream.schema("sha string, at timestamp").parquet(f"{at}/in")).select("sha")
     u.writeStream.format("parquet").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start(f"{at}/out").awaitTermination()

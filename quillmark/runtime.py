@@ -79,13 +79,19 @@ def discard(*tables: DataFrame) -> None:
 atexit.register(discard)
 
 
+def scratch(spark: SparkSession, what: str = "t") -> str:
+    """A path of its own in the shared folder, deleted with the written tables."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def written(df: DataFrame, what: str = "t") -> DataFrame:
     """Write a table in the shared folder and read it back: cuts the lineage, survives lost executors,
     and lets later steps read only the columns they need."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
-    _written[path] = spark
     back = spark.read.schema(df.schema).parquet(path)
     back._written_at = path
     return back
