@@ -16,7 +16,6 @@ count once. An id that arrives with two different stems takes part with each. Em
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
