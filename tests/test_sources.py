@@ -136,3 +136,18 @@ def test_stream_duplicates(spark, tmp_path):
     s = J.without_repeats(spark.readStream.schema("sha string, at timestamp").json(f"{tmp_path}/up"))
     s.writeStream.format("memory").queryName("ups").option("checkpointLocation", f"{tmp_path}/cp3").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.sha for r in spark.table("ups").collect()) == ["x", "y"]
+
+
+def test_written_tables_are_discarded(spark):
+    from quillmark.runtime import discard, file_system, scratch, written
+
+    a, b = written(spark.range(5)), written(spark.range(3))
+    at = scratch(spark, "own")
+    spark.range(2).write.parquet(at)
+    there = lambda p: file_system(spark, p)[0].exists(file_system(spark, p)[1])
+    assert a.count() == 5 and b.count() == 3
+    discard(a)
+    assert not there(a._written_at) and there(b._written_at) and there(at) and b.count() == 3
+    discard(spark.range(1), a)
+    discard()
+    assert not there(b._written_at) and not there(at)
