@@ -91,8 +91,10 @@ def extracted(plan: DataFrame, answers: DataFrame, texts: DataFrame, figures: Da
     seen = F.size(F.regexp_extract_all("said", F.lit(r"\[\[FIGURE\]\]"), F.lit(0)))
     j = j.withColumn("want", F.when(F.col("fault").isNull() & (seen > F.size("figures")), F.size("areas")).otherwise(0))
     top = taken.groupBy("doc_id").agg(F.coalesce(F.max(F.regexp_extract("name", r"^manual_(\d+)", 1).try_cast("int")), F.lit(0)).alias("top"))
+    # names run on per document, over the few requests that need any and without their texts
     before = F.coalesce(F.sum("want").over(W.partitionBy("doc_id").orderBy("req_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("top", F.lit(0))
-    j = j.join(top, "doc_id", "left").withColumn("from", before.cast("int"))
+    first = j.where("want > 0").select("req_id", "doc_id", "want").join(top, "doc_id", "left").select("req_id", before.cast("int").alias("from"))
+    j = j.join(first, "req_id", "left")
     names = F.when(F.col("want") > 0, F.transform(F.sequence(F.lit(1), F.greatest("want", F.lit(1))), lambda i: F.format_string("manual_%03d.png", F.col("from") + i))).otherwise(none)
     j = j.withColumn("new_names", names).withColumn("all_figures", F.when(F.col("fault").isNull(), F.concat("figures", "new_names")).otherwise(none))
     p = review.place_figures(j, "said", "original", "all_figures")
